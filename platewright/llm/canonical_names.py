@@ -10,7 +10,10 @@ slips of the pen or the scanner explain.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,8 @@ from platewright.plans.lineage import cut
 
 #: Jaccard similarity of trigram sets from which an entry is a candidate.
 SIMILAR = 0.35
+#: Names (with their abbreviated forms) of a reference list up to which its index is broadcast: some MB.
+INDEX_LIMIT = 100_000
 # Words that qualify a name without belonging to it, and words that say that there is no epithet.
 _QUALIFIERS = {"cf", "aff", "?", "ex", "gr", "nr", "near", "var", "subsp", "ssp", "forma", "f", "cfr", "conf"}
 _OPEN = {"sp", "spp", "indet", "n", "nov", "gen", "species", "undet"}
@@ -145,7 +150,7 @@ def similarity_join(left: DataFrame, right: DataFrame, t: float = SIMILAR) -> Da
     return shared.select("key", "other", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= t)
 
 
-def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMILAR) -> DataFrame:
+def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMILAR, index_limit: int = INDEX_LIMIT) -> DataFrame:
     """(``col``, name_id, jaccard, distance) for every distinct value of ``col``.
 
     ``reference`` has name_id, genus, epithet, synonyms (names of the same form).
@@ -153,9 +158,12 @@ def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMI
     row). Abbreviated genera are compared by their epithet and must begin like the
     entry's genus; a name whose space was lost is compared as one word. Of several
     entries the one of the least edit distance counts, then the highest Jaccard,
-    then the smallest name_id. Values are reduced to distinct ones, then to distinct
-    parsed names, before anything is joined, so a value that a third of the rows
-    hold is compared once.
+    then the smallest name_id. Values are reduced to distinct ones before anything
+    is compared, so a value that a third of the rows hold is compared once.
+
+    A reference list of at most ``index_limit`` names is indexed by its rare tokens
+    and the index broadcast; a longer one is joined by shuffling both sides' rare
+    tokens. Both ways give the same result.
     """
     names = reference.select("name_id", F.lower("genus").alias("r_genus"), F.lower("epithet").alias("r_epithet")).unionByName(
         reference.select("name_id", F.explode("synonyms").alias("s")).select("name_id", F.lower(F.split("s", " ")[0]).alias("r_genus"), F.lower(F.split("s", " ")[1]).alias("r_epithet"))
@@ -167,23 +175,114 @@ def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMI
     ))
     ref = names.withColumn("other", kinds)
     distinct = values.select(F.col(col).alias("_v")).where("_v is not null").distinct()
-    parsed = distinct.where(~F.col("_v").rlike(r"^[\s\p{Z}]*$")).withColumn("_p", _parse_udf("_v")).select("_v", "_p.genus", "_p.epithet")
+    parsed = cut(distinct.where(~F.col("_v").rlike(r"^[\s\p{Z}]*$")).withColumn("_p", _parse_udf("_v")).select("_v", "_p.genus", "_p.epithet"))
     key = (
         F.when(F.col("genus").isNull(), F.concat(F.lit("j:"), "epithet"))
         .when(F.col("genus").endswith("."), F.concat(F.lit("e:"), "epithet"))
         .otherwise(F.concat(F.lit("f:"), "genus", F.lit(" "), "epithet"))
     )
-    values_parsed = cut(parsed)
-    parsed = values_parsed.where("epithet is not null").select("genus", "epithet").distinct().withColumn("key", key)
-    pairs = similarity_join(parsed.select("key").distinct(), ref.select(F.col("other").alias("key")).distinct(), t)
-    joined = parsed.join(pairs, "key").join(ref, "other")
-    close = joined.withColumns(_rough()).where("rough_g <= 5 and rough_e <= 6").drop("rough_g", "rough_e")
-    judged = close.withColumn("_d", _slips("genus", "epithet", "r_genus", "r_epithet"))
-    best = judged.select("*", "_d.d_genus", "_d.d_epithet").withColumn("distance", F.col("d_genus") + F.col("d_epithet")).where(_plausible())
-    order = F.struct((-F.col("distance")).alias("d"), F.col("jaccard").alias("j"), (-F.col("name_id")).alias("i"), F.col("name_id").alias("name_id"))
-    chosen = best.groupBy("genus", "epithet").agg(F.max(order).alias("_b"))
-    found = values_parsed.join(chosen, on=[values_parsed.genus.eqNullSafe(chosen.genus), values_parsed.epithet == chosen.epithet], how="left")
-    return found.select(F.col("_v").alias(col), F.coalesce("_b.name_id", F.lit(0)).cast("bigint").alias("name_id"), F.col("_b.j").alias("jaccard"), (-F.col("_b.d")).alias("distance"))
+    asked = parsed.where("epithet is not null").select("genus", "epithet").distinct().withColumn("key", key)
+    entries = ref.limit(index_limit + 1).collect()
+    if len(entries) <= index_limit:
+        chosen = _by_index(asked, entries, t)
+    else:
+        pairs = similarity_join(asked.select("key").distinct(), ref.select(F.col("other").alias("key")).distinct(), t)
+        joined = asked.join(pairs, "key").join(ref, "other")
+        close = joined.withColumns(_rough()).where("rough_g <= 5 and rough_e <= 6").drop("rough_g", "rough_e")
+        judged = close.withColumn("_d", _slips("genus", "epithet", "r_genus", "r_epithet"))
+        best = judged.select("*", "_d.d_genus", "_d.d_epithet").withColumn("distance", F.col("d_genus") + F.col("d_epithet")).where(_plausible())
+        order = F.struct((-F.col("distance")).alias("d"), F.col("jaccard").alias("j"), (-F.col("name_id")).alias("i"), F.col("name_id").alias("name_id"))
+        chosen = best.groupBy("genus", "epithet").agg(F.max(order).alias("_b")).select("genus", "epithet", "_b.name_id", F.col("_b.j").alias("jaccard"), (-F.col("_b.d")).cast("int").alias("distance"))
+    chosen = chosen.withColumnsRenamed({"genus": "c_genus", "epithet": "c_epithet"})
+    found = parsed.join(chosen, on=[F.coalesce("genus", F.lit("")) == F.coalesce("c_genus", F.lit("")), F.col("epithet") == F.col("c_epithet")], how="left")
+    return found.select(F.col("_v").alias(col), F.coalesce("name_id", F.lit(0)).cast("bigint").alias("name_id"), "jaccard", "distance")
+
+
+def trigrams(key: str) -> list[str]:
+    """The set of character trigrams of a key, padded, its kind in front of each."""
+    kind, padded = key[:2], f"^^{key[2:]}$$"
+    return list(dict.fromkeys(kind + padded[i : i + 3] for i in range(len(padded) - 2)))
+
+
+class NameIndex:
+    """The reference side of the join: rare tokens to entries, with their positions."""
+
+    def __init__(self, entries: list[tuple[str, str, str, int]], rarity: dict[str, int], t: float):
+        self.t, self.rarity, self.entries = t, rarity, {}
+        self.postings: dict[str, list[tuple[str, int, int]]] = {}
+        self.sets: dict[str, frozenset[str]] = {}
+        for key, genus, epithet, name_id in entries:
+            self.entries.setdefault(key, []).append((genus, epithet, name_id))
+        for key in self.entries:
+            toks = self.order(trigrams(key))
+            self.sets[key] = frozenset(toks)
+            for at, tok in enumerate(toks[: self.prefix(len(toks))]):
+                self.postings.setdefault(tok, []).append((key, len(toks), at))
+
+    def order(self, toks: list[str]) -> list[str]:
+        """Tokens by global rarity; those that no entry has come first."""
+        known = self.rarity
+        return sorted(toks, key=lambda x: (known.get(x, 0), x))
+
+    def prefix(self, n: int) -> int:
+        return n - math.ceil(n * self.t - 1e-9) + 1
+
+    def candidates(self, key: str) -> dict[str, float]:
+        """Entries of a Jaccard similarity of t or more, with it: rare prefixes joined,
+        length and positions filtered, the rest verified exactly."""
+        toks, t = self.order(trigrams(key)), self.t
+        n, share = len(toks), t / (1 + t)
+        met: dict[str, bool] = {}
+        for at, tok in enumerate(toks[: self.prefix(n)]):
+            for other, m, bt in self.postings.get(tok, ()):
+                if other not in met:
+                    # The first common token: at most min(n - at, m - bt) can be common.
+                    met[other] = n * t <= m and m * t <= n and min(n - at, m - bt) >= share * (n + m) - 1e-9
+        mine, found = set(toks), {}
+        for other, possible in met.items():
+            if possible:
+                theirs = self.sets[other]
+                shared = len(mine & theirs)
+                j = shared / (n + len(theirs) - shared)
+                if j >= t:
+                    found[other] = j
+        return found
+
+    def best(self, genus: str | None, epithet: str, key: str) -> tuple[int, float, int] | None:
+        """(name_id, jaccard, distance) of the entry meant, or None."""
+        top = None
+        for other, j in self.candidates(key).items():
+            for rg, re_, name_id in self.entries[other]:
+                d = _name_slips(genus, epithet, rg, re_)
+                if is_slip(genus, epithet, *d):
+                    rank = (-(d[0] + d[1]), j, -name_id)
+                    top = max(top, rank) if top else rank
+        return top and (-top[2], top[1], -top[0])
+
+
+def _by_index(asked: DataFrame, entries: list, t: float) -> DataFrame:
+    """(genus, epithet, name_id, jaccard, distance) by a broadcast :class:`NameIndex`."""
+    spark = asked.sparkSession
+    listed = [(r["other"], r["r_genus"], r["r_epithet"], r["name_id"]) for r in entries]
+    own = {x for key, *_ in listed for x in trigrams(key)}
+    kind = F.substring("key", 1, 2)
+    tokens = asked.select(F.explode(F.transform(_grams(F.substring("key", 3, 1000)), lambda g: F.concat(kind, g))).alias("token"))
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in own], "token string")) if own else None  # tokens of the reference list
+    counts = {r["token"]: r["n"] for r in tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if own else {}
+    held = Counter(x for key in {k for k, *_ in listed} for x in trigrams(key))
+    rarity = {x: counts.get(x, 0) + held[x] for x in own}
+    index = spark.sparkContext.broadcast(NameIndex(listed, rarity, t))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for genus, epithet, key in zip(batch["genus"], batch["epithet"], batch["key"]):
+                best = index.value.best(genus, epithet, key)
+                if best:
+                    out.append((genus, epithet, *best))
+            yield pd.DataFrame(out, columns=["genus", "epithet", "name_id", "jaccard", "distance"])
+
+    return asked.mapInPandas(run, "genus string, epithet string, name_id bigint, jaccard double, distance int")
 
 
 def _rough() -> dict[str, Column]:
@@ -221,17 +320,25 @@ def _least_slips(a: str, b: str) -> int:
     return 0 if a == b else min(slips(a, b), slips(fold_glyphs(a), fold_glyphs(b)))
 
 
+def _name_slips(genus: str | None, epithet: str, r_genus: str, r_epithet: str) -> tuple[int, int]:
+    """Slips in the genus and in the epithet."""
+    if genus is None:
+        return 0, _least_slips(epithet, r_genus + r_epithet)
+    if genus.endswith("."):
+        return _least_slips(genus[:-1], r_genus[: len(genus) - 1]), _least_slips(epithet, r_epithet)
+    return _least_slips(genus, r_genus), _least_slips(epithet, r_epithet)
+
+
+def is_slip(genus: str | None, epithet: str, d_genus: int, d_epithet: int) -> bool:
+    """Few enough slips: an abbreviation must begin like the genus, an epithet may
+    have three, a genus four, both together five; short words fewer."""
+    most = 4 if genus is None or not genus.endswith(".") else int(len(genus) > 4)
+    return d_genus <= most and d_epithet <= min(3, int(len(epithet) / 2.5)) and d_genus + d_epithet <= 5
+
+
 @F.pandas_udf(StructType([StructField("d_genus", IntegerType()), StructField("d_epithet", IntegerType())]))
 def _slips(genus: pd.Series, epithet: pd.Series, r_genus: pd.Series, r_epithet: pd.Series) -> pd.DataFrame:
-    out = []
-    for g, e, rg, re_ in zip(genus, epithet, r_genus, r_epithet):
-        if g is None:
-            out.append((0, _least_slips(e, rg + re_)))
-        elif g.endswith("."):
-            out.append((_least_slips(g[:-1], rg[: len(g) - 1]), _least_slips(e, re_)))
-        else:
-            out.append((_least_slips(g, rg), _least_slips(e, re_)))
-    return pd.DataFrame(out, columns=["d_genus", "d_epithet"])
+    return pd.DataFrame([_name_slips(*x) for x in zip(genus, epithet, r_genus, r_epithet)], columns=["d_genus", "d_epithet"])
 
 
 def _plausible() -> Column:
