@@ -39,6 +39,9 @@ _IGNORABLE = set("͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ") | {chr(c) for c in range(0x
 # Letters of one script that serve as symbols in words of another.
 _SYMBOL_LETTERS = set("μδµ")
 
+#: Anything but these may need attention; texts without it are as they should be.
+_ODD = re.compile(r"[^\x00-\x7F¡-¬®-ĲĴ-ľŁ-ňŊ-žƀ-ƒδμ–—“”‘’„‚«»…°′″×±≤≥≈→•†‡€™]")
+
 _LOOKALIKE_SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 
@@ -116,7 +119,7 @@ _REVERSE = {(_script(k), v): k for k, v in reversed(_LOOKALIKES.items()) if _scr
 def canonical(text: str) -> str:
     """The consistent form of one text; idempotent, and the text itself where
     nothing in it is out of the ordinary."""
-    if text.isascii():
+    if text.isascii() or not _ODD.search(text):
         return text
     plain = unicodedata.normalize("NFC", "".join(map(_plain, text)))
     return _words(plain)
