@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewright.plans.lineage import cut
+
 # Frequent function words, by which a text's language is told.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for as with are was on by this from at which or be has have an not they its their these were but can so",
@@ -99,7 +101,7 @@ def familiar_words(docs: DataFrame, text_col: str = "text", share: float = WIDES
             yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["lang", "word", "n"])
 
     texts = docs.select(docs[text_col].alias("_text")).where("_text is not null")
-    counts = texts.mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(texts.mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.where("word = ''").select("lang", F.col("n").alias("docs"))
     kept = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("docs") * share)  # totals: a row per language
     lists: dict[str, set[str]] = {}
