@@ -177,7 +177,7 @@ def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMI
     distinct = values.select(F.col(col).alias("_v")).where("_v is not null").distinct()
     # Few bytes, much work for each: dealt to all cores, which partitions by size wouldn't do.
     spread = 2 * values.sparkSession.sparkContext.defaultParallelism
-    parsed = cut(distinct.where(~F.col("_v").rlike(r"^[\s\p{Z}]*$")).repartition(spread, "_v").withColumn("_p", _parse_udf("_v")).select("_v", "_p.genus", "_p.epithet"))
+    parsed = cut(distinct.where(~F.col("_v").rlike(r"^[\s\p{Z}]*$")).repartition(spread, F.xxhash64("_v")).withColumn("_p", _parse_udf("_v")).select("_v", "_p.genus", "_p.epithet"))
     key = (
         F.when(F.col("genus").isNull(), F.concat(F.lit("j:"), "epithet"))
         .when(F.col("genus").endswith("."), F.concat(F.lit("e:"), "epithet"))
@@ -186,7 +186,7 @@ def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMI
     asked = parsed.where("epithet is not null").select("genus", "epithet").distinct().withColumn("key", key)
     entries = ref.limit(index_limit + 1).collect()
     if len(entries) <= index_limit:
-        chosen = _by_index(asked.repartition(spread, "genus", "epithet"), entries, t)
+        chosen = _by_index(asked.repartition(spread, F.xxhash64("genus", "epithet")), entries, t)
     else:
         pairs = similarity_join(asked.select("key").distinct(), ref.select(F.col("other").alias("key")).distinct(), t)
         joined = asked.join(pairs, "key").join(ref, "other")
