@@ -96,7 +96,8 @@ def discover(
 
     * the support of each value of a group and field: the share that its sources'
       log-odds have in the group's,
-    * the reliability of each source: the mean support of what it claimed.
+    * the reliability of each source: the mean support of what it claimed, against
+      that of the group's leading value.
 
     It ends when no reliability moves by more than ``tolerance`` or after
     ``rounds`` rounds. Returns (winners, sources): winners has ``*keys, field,
@@ -126,7 +127,7 @@ def discover(
     per_group = ["_g", *keys, "field"]
     for _ in range(rounds):
         votes = _votes(claims, sources, per_group)
-        measured = votes.groupBy("_source").agg(F.avg("support").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+        measured = votes.groupBy("_source").agg(F.avg(F.col("support") / F.col("_top")).alias("_mean"), F.count(F.lit(1)).alias("_n"))
         fresh = sources.join(measured, "_source", "left").select(
             "_source", "n_claims", "_prior",
             ((F.coalesce(F.col("_mean"), F.col("_prior")) * F.coalesce(F.col("_n"), F.lit(0)) + F.col("_prior") * prior_claims) / (F.coalesce(F.col("_n"), F.lit(0)) + prior_claims)).alias("reliability"),
@@ -156,4 +157,4 @@ def _votes(claims: DataFrame, sources: DataFrame, per_group: Sequence[str]) -> D
     weighed = claims.join(sources.select("_source", "reliability"), "_source").withColumn("_vote", F.log(r / (1 - r)) + 4.0)
     group = Window.partitionBy(*per_group)
     value = Window.partitionBy(*per_group, "value")
-    return weighed.withColumn("_share", F.col("_vote") / F.sum("_vote").over(group)).withColumn("support", F.sum("_share").over(value))
+    return weighed.withColumn("_share", F.col("_vote") / F.sum("_vote").over(group)).withColumn("support", F.sum("_share").over(value)).withColumn("_top", F.max("support").over(group))
