@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Containers that a stream keeps open at once, and items that a stream has on average.
 OPEN, STREAM = 4096, 100_000
+#: Capacities that one call packs for at most: a short list of settings, read to the driver.
+MOST_SIZES = 100
 
 
 class BestFit:
@@ -69,9 +71,12 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: DataFrame, mo
     """
     rows = items.select(items[id_col].alias("_id"), F.coalesce(items[size_col], F.lit(0)).cast("int").alias("_size"))
     n_streams = max(1, -(-rows.count() // stream))
-    sized = F.broadcast(capacities.where("capacity >= 1").select("size_name", F.col("capacity").cast("int")))
+    sizes = [tuple(r) for r in capacities.where("capacity >= 1").select("size_name", F.col("capacity").cast("int")).distinct().limit(MOST_SIZES + 1).collect()]
+    if len(sizes) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} capacities")
+    listed = F.array(*[F.struct(F.lit(n).alias("size_name"), F.lit(c).alias("capacity")) for n, c in sorted(sizes, key=str)]) if sizes else F.array().cast("array<struct<size_name:string,capacity:int>>")
     kind = rows.schema["_id"].dataType.simpleString()
-    keyed = rows.withColumn("_stream", F.pmod(F.xxhash64("_id"), F.lit(n_streams)).cast("int")).join(sized)
+    keyed = rows.withColumn("_stream", F.pmod(F.xxhash64("_id"), F.lit(n_streams)).cast("int")).select("_id", "_size", "_stream", F.explode(listed).alias("_s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins: dict[tuple[str, int, int], BestFit] = {}
@@ -92,6 +97,6 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: DataFrame, mo
                     out.append((name, capacity, item, k + 1 if len(sizes) > 1 else 0, s, f"{capacity}/{at}/{fit.place(s)}"))
             yield pd.DataFrame(out, columns=["size_name", "capacity", "_id", "piece", "piece_size", "container"])
 
-    dealt = keyed.select("_id", "_size", "_stream", "size_name", "capacity").repartition(n_streams * 3, "_stream", "size_name").sortWithinPartitions("size_name", "_stream", F.xxhash64(F.col("_id"), F.lit(1)), "_id")
+    dealt = keyed.select("_id", "_size", "_stream", "_s.size_name", "_s.capacity").repartition(n_streams * 3, "_stream", "size_name").sortWithinPartitions("size_name", "_stream", F.xxhash64(F.col("_id"), F.lit(1)), "_id")
     schema = f"size_name string, capacity int, _id {kind}, piece int, piece_size int, container string"
     return dealt.mapInPandas(run, schema).withColumnRenamed("_id", id_col)
