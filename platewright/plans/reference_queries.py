@@ -410,8 +410,9 @@ def label_scalars(s, d):
 def tower_softmax(s, d):
     """Each vector's distribution over one vector per label: dot products and softmax."""
     e = load(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    items = e.groupBy("label").agg(F.min(F.struct("vec_id", "v")).alias("m")).select(F.col("m.vec_id").alias("item"), F.col("m.v").alias("u"))  # a row per label
-    logits = e.join(F.broadcast(items)).select("vec_id", "item", A.dot(F.col("v"), F.col("u")).alias("logit"))
+    first = e.groupBy("label").agg(F.min(F.struct("vec_id", "v")).alias("m")).select("m.vec_id", "m.v").collect()  # a row per label: the figure's items
+    items = F.array(*[F.struct(F.lit(r["vec_id"]).alias("item"), F.array(*map(F.lit, r["v"])).alias("u")) for r in first])
+    logits = e.select("vec_id", "v", F.explode(items).alias("i")).select("vec_id", "i.item", A.dot(F.col("v"), F.col("i.u")).alias("logit"))
     return A.softmax_over(logits, ["vec_id"], "logit").select("vec_id", "item", F.round("p", 5).alias("p"))
 
 
