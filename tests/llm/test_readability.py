@@ -4,7 +4,7 @@ from platewright.llm.readability import language, reading_levels, running_senten
 
 EASY = "It is small and red. It has two legs. We see it in the sea. Look at the ring. "
 HARD = "Multivariate ordination of paleoceanographic assemblages substantiates statistically significant compositional heterogeneity between hemipelagic and volcaniclastic lithofacies notwithstanding taphonomic homogenisation. "
-MIDDLE = "The museum keeps hundreds of glass slides in wooden drawers, and visitors may look at some of them when it is open on a Sunday. "
+MIDDLE = "The museum keeps hundreds of glass slides in wooden drawers. Visitors may look at some of them when it is open on a Sunday afternoon, but not at night. "
 
 
 def test_levels(spark):
