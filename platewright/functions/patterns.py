@@ -22,6 +22,27 @@ JSON_OBJECT = r"(?s)\{.*\}"
 LABEL_TOKEN = r"^([A-Z]|\d{1,2})$"
 QUALIFIER = r"(?i)\b(sp\.|spp\.|cf\.|aff\.)\b"
 
+# Python's classes for str in the words of Java, whose own are ASCII: digits and letters of all scripts, every white space.
+_WORD, _SPACE, _DIGIT = r"\p{L}\p{N}_", r"\s\x1c-\x1f\x85\p{Z}", r"\p{Nd}"
+_EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+
+
+def unicode_aware(pattern: str) -> str:
+    r"""``pattern`` with the meaning that \b, \s, \w, \d and (?i) have on whole, unaltered texts."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        piece = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(piece)
+        inside = piece == "[" or (inside and piece != "]")
+        kind = {r"\w": _WORD, r"\s": _SPACE, r"\d": _DIGIT}.get(piece)
+        if kind:
+            piece = kind if inside else f"[{kind}]"
+        elif piece == r"\b" and not inside:
+            piece = _EDGE
+        out.append(piece)
+    return "".join(out).replace("(?i)", "(?iu)")
+
+
 # Scores, thresholds and limits.
 SCORE_CANDIDATE, SCORE_RULE, SCORE_LEXICON = 0.65, 0.55, 0.75
 CONF_SCALE_CAPTION, CONF_SCALE_OCR = 0.8, 0.7

@@ -10,12 +10,12 @@ from platewright.functions import patterns as P
 
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     """Every match of a group, in order; the empty list for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(P.unicode_aware(pattern)), F.lit(group)), F.array().cast("array<string>"))
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match of a group, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(text, P.unicode_aware(pattern), group), F.lit(""))
 
 
 def distinct_in_order(found: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from platewright.functions import patterns as P
-from platewright.functions.text import label_scalar
+from platewright.functions.text import all_matches, distinct_in_order, label_scalar
 from platewright.operators.boxes import centre_in
 
 FIGURE = ("paper_id", "figure_id")
@@ -20,7 +20,7 @@ FIGURE = ("paper_id", "figure_id")
 def label_tokens(tokens: DataFrame, group: Sequence[str] = FIGURE) -> DataFrame:
     """(*group, pos, token_id, text): the tokens that are a panel label, stripped."""
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    return tokens.select(*group, "pos", "token_id", text.alias("text")).where(F.col("text").rlike(P.LABEL_TOKEN))
+    return tokens.select(*group, "pos", "token_id", text.alias("text")).where(F.col("text").rlike(P.unicode_aware(P.LABEL_TOKEN)))
 
 
 def text_in_panels(panels: DataFrame, tokens: DataFrame, group: Sequence[str] = FIGURE) -> DataFrame:
@@ -44,6 +44,13 @@ def numbered(items: DataFrame, group: Sequence[str], order: Sequence[str], as_:
     return items.withColumn(as_, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
 
 
+def taxa_or_found(figures: DataFrame, taxa: DataFrame, text: Column) -> DataFrame:
+    """(*FIGURE, panel_index, species): ``taxa``, for figures without any the names that their caption ``text`` holds."""
+    bare = figures.join(taxa.select(*FIGURE).distinct(), list(FIGURE), "left_anti")
+    found = bare.select(*FIGURE, F.posexplode(distinct_in_order(all_matches(text, P.TAXON_IN_CAPTION))).alias("panel_index", "species"))
+    return taxa.select(*FIGURE, "panel_index", "species").unionByName(found)
+
+
 def match_panels(figures: DataFrame, panels: DataFrame, labels: DataFrame, taxa: DataFrame, tokens: DataFrame) -> DataFrame:
     """Panels matched with labels, species and recognised text, by position.
 

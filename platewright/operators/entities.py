@@ -22,6 +22,12 @@ def labels_of(docs: DataFrame, ids: Sequence[str], text: Column) -> DataFrame:
     return docs.select(*ids, F.posexplode(distinct_in_order(all_matches(text, P.PANEL_LABEL))).alias("pos", "label"))
 
 
+def stored_or_found_labels(docs: DataFrame, ids: Sequence[str], stored: Column, text: Column) -> DataFrame:
+    """(*ids, pos, label): the labels ``stored`` with a caption, where there are none those of its ``text``."""
+    labels = F.when(F.size(stored) > 0, stored).otherwise(distinct_in_order(all_matches(text, P.PANEL_LABEL)))
+    return docs.select(*ids, F.posexplode(labels).alias("pos", "label"))
+
+
 def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, name_col: str) -> DataFrame:
     """(``id_col``, name, start): the first occurrence of every listed name in every
     text, in any case, at any place.
