@@ -50,6 +50,27 @@ def link_species(species: DataFrame, sections: DataFrame, geology: DataFrame, pa
     return linked.unionByName(lone.select(paper, "species", "geology_id"))
 
 
+def link_records(species: DataFrame, sections: DataFrame, records: DataFrame, order: Sequence[str], paper: str = "paper_id", parts: int = 8) -> DataFrame:
+    """(paper, species, section_title, age, formation, locality, confidence, *order): names linked to rule records.
+
+    ``species``: (paper, species), distinct. ``records``: (paper, section_title, age, formation, locality, confidence, *order),
+    deduplicated per paper. A name is linked to the records that bear the title of a section of its paper that names
+    it, once per such section (null titles agree); a name without any to the paper's first record by ``order``.
+    The paper stays the key; a paper's sections are dealt into ``parts``, so that a large one isn't one task.
+    """
+    cols = ["section_title", "age", "formation", "locality", "confidence", *order]
+    salt = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    s = species.select(paper, "species", F.lower("species").alias("_low"), salt.alias("_part"))
+    t = sections.select(paper, "section_title", F.lower("text").alias("_text"), F.pmod(F.xxhash64("text", "section_title"), F.lit(parts)).cast("int").alias("_part"))
+    named = s.join(t, [paper, "_part"]).where(F.contains("_text", "_low")).groupBy(paper, "species", "section_title").agg(F.count(F.lit(1)).alias("_times"))
+    n, r = named.alias("n"), records.alias("r")
+    on = (F.col(f"n.{paper}") == F.col(f"r.{paper}")) & F.col("n.section_title").eqNullSafe(F.col("r.section_title"))
+    linked = n.join(r, on).select(f"n.{paper}", "n.species", *[f"r.{c}" for c in cols], F.explode(F.array_repeat(F.lit(0), F.col("n._times").cast("int"))).alias("_again")).drop("_again")
+    first = records.groupBy(paper).agg(F.min(F.struct(*order, *[c for c in cols if c not in order])).alias("_f")).select(paper, *[F.col(f"_f.{c}") for c in cols])
+    lone = species.select(paper, "species").join(linked.select(paper, "species").distinct(), [paper, "species"], "left_anti").join(first, paper)
+    return linked.unionByName(lone)
+
+
 def graph_nodes(links: DataFrame) -> DataFrame:
     """(id, type, name) of links (species, age, formation, locality): distinct, empty ones left out."""
     kinds = ("species", "age", "formation", "locality")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platewright.functions import patterns as P
+from platewright.functions.text import all_matches
 from platewright.operators import association as A
 from platewright.operators import entities as E
+from platewright.operators import geology as G
 from platewright.plans.reference_queries import FIG, _panels
 from platewright.sources.tables import load
 
@@ -34,6 +37,10 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "ocr_tokens").select("token_id", *FIG, "pos", F.coalesce("text", F.lit("")).alias("text"), "confidence", "bbox")
 
 
+def _sections(s: SparkSession, d: str) -> DataFrame:
+    return load(s, d, "geology").select("geology_id", "paper_id", "section_title", F.coalesce("evidence_text", F.lit("")).alias("text"))
+
+
 @query
 def match_panels_whole(s, d):
     """Panels matched as in match_panels_heuristic, with stored labels first and names from the caption for figures without taxa."""
@@ -42,3 +49,23 @@ def match_panels_whole(s, d):
     taxa = A.numbered(load(s, d, "taxa").where("text is not null").select(*FIG, "pos", "taxon_id", F.col("text").alias("species")), FIG, ["pos", "taxon_id"])
     rows = A.match_panels(figures, _panels(s, d), labels, A.taxa_or_found(figures, taxa, F.col("caption")), _tokens(s, d))
     return rows.withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def species_seeds_whole(s, d):
+    """The distinct names in the captions of each paper."""
+    return _captions(s, d).select("paper_id", F.explode(all_matches(F.col("text"), P.TAXON_CANDIDATE)).alias("species")).distinct()
+
+
+def _links(s, d):
+    """Links of the papers' caption names with their deduplicated rule records."""
+    sections = _sections(s, d)
+    order = ["geology_id", "age_pos"]
+    records = G.dedup_records(G.records_of(sections, ["geology_id", "paper_id", "section_title"], F.col("text")), ["paper_id", "age", "formation", "locality", "section_title"], order)
+    return G.link_records(species_seeds_whole(s, d), sections, records, order)
+
+
+@query
+def species_geology_links_whole(s, d):
+    """How often each caption name is linked to rule records of each kind of section."""
+    return _links(s, d).groupBy("species", "section_title").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("paper_id").alias("papers"))

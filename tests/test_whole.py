@@ -24,3 +24,46 @@ def test_match_falls_back_to_caption_and_stored_labels(spark, tmp_path):
     got = {(r.figure_id, r.panel_index): (r.panel_id, r.species, r.confidence) for r in catalog.queries()["match_panels_whole"](spark, d).collect()}
     # R3 itself ends at a word's edge, so that "sp." before a blank is no part of the name.
     assert got == {("f", 0): ("X", "Foo barum", 0.7), ("f", 1): ("Y", "Baz quxum", 0.7), ("g", 0): ("B", "Listed name", 0.7), ("h", None): (None, "Foo barum", 0.35)}
+
+
+LINK_CAPTIONS = [(1, "p", "f", "A: Foo barum, Baz quxum"), (2, "p", "g", "B: Foo barum, Lone wolfus"), (3, "q", "f", "Foo barum"), (4, "r", "f", "Foo barum")]
+LINK_SECTIONS = [
+    (1, "p", "s1", "Setting", "Shales of Miocene and Eocene age at Gubbio."), (2, "p", "s2", "Results", "The foo BARUM is of Permian age."), (3, "p", "s3", "Results", "Foo barum and Baz quxum again, of Permian age."),
+    (4, "p", "s4", None, "Here foo barum is Triassic."), (5, "q", "s5", "Results", "Nothing known of Foo barum."), (6, "p", "s6", None, "The Silurian only."),
+]
+
+
+def link_tables(spark, d):
+    save(spark, d, "captions", [(i, p, f, None, None, c, None) for i, p, f, c in LINK_CAPTIONS], "caption_id long, paper_id string, figure_id string, figure_number string, page_index int, caption string, panel_labels array<string>")
+    save(spark, d, "geology", LINK_SECTIONS, "geology_id long, paper_id string, section_id string, section_title string, evidence_text string")
+
+
+def brute_links():
+    """The heuristic branch, section by section: (paper, species, section_title, age, formation, locality, confidence)."""
+    out = []
+    for paper in sorted({p for _, p, *_ in LINK_CAPTIONS}):
+        names = sorted({n for _, p, _, c in LINK_CAPTIONS if p == paper for n in re.findall(P.TAXON_CANDIDATE, c)})
+        sections = [(t, x) for _, p, _, t, x in LINK_SECTIONS if p == paper]
+        records = {}
+        for title, text in sections:
+            ages, forms, locs = re.findall(P.AGE, text), re.findall(P.FORMATION, text), [x.strip(" .,;") for x in re.findall(P.LOCALITY, text)]
+            if ages or forms or locs:
+                for age in ages or [None]:
+                    records.setdefault((age, forms[0] if forms else None, locs[0] if locs else None, title), 0.55)
+        for name in names:
+            found = [r for t, x in sections if name.lower() in x.lower() for r in records if r[3] == t]
+            out += [(paper, name, r[3], *r[:3], 0.55) for r in found or list(records)[:1]]
+    return out
+
+
+def test_links_of_caption_names(spark, tmp_path):
+    d = str(tmp_path)
+    link_tables(spark, d)
+    from platewright.plans.whole_queries import _links
+
+    got = [(r.paper_id, r.species, r.section_title, r.age, r.formation, r.locality, r.confidence) for r in _links(spark, d).collect()]
+    want = brute_links()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {("p", "Lone wolfus", "Setting", "Miocene", None, "Gubbio", 0.55), ("p", "Baz quxum", "Results", "Permian", None, None, 0.55)} <= set(want)
+    counted = {(r.species, r.section_title): (r.n_links, r.papers) for r in catalog.queries()["species_geology_links_whole"](spark, d).collect()}
+    assert counted["Foo barum", "Results"] == (2, 1) and counted["Foo barum", None] == (2, 1)
