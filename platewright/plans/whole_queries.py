@@ -69,3 +69,23 @@ def _links(s, d):
 def species_geology_links_whole(s, d):
     """How often each caption name is linked to rule records of each kind of section."""
     return _links(s, d).groupBy("species", "section_title").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("paper_id").alias("papers"))
+
+
+def _graph(s, d):
+    """All links, and the names of papers that have sections but no record, as nodes alone."""
+    links = _links(s, d).select("species", "age", "formation", "locality", "confidence")
+    named = species_seeds_whole(s, d).join(load(s, d, "geology").select("paper_id").distinct(), "paper_id", "left_semi")
+    alone = named.select("species", *[F.lit(None).cast("string").alias(c) for c in ("age", "formation", "locality")], F.lit(None).cast("double").alias("confidence"))
+    return links, links.unionByName(alone)
+
+
+@query
+def kg_nodes_whole(s, d):
+    """Nodes of the graph of all links of caption names."""
+    return G.graph_nodes(_graph(s, d)[1])
+
+
+@query
+def kg_edges_whole(s, d):
+    """Edges of the graph of all links of caption names."""
+    return G.graph_edges(_graph(s, d)[0])

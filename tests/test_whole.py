@@ -67,3 +67,17 @@ def test_links_of_caption_names(spark, tmp_path):
     assert {("p", "Lone wolfus", "Setting", "Miocene", None, "Gubbio", 0.55), ("p", "Baz quxum", "Results", "Permian", None, None, 0.55)} <= set(want)
     counted = {(r.species, r.section_title): (r.n_links, r.papers) for r in catalog.queries()["species_geology_links_whole"](spark, d).collect()}
     assert counted["Foo barum", "Results"] == (2, 1) and counted["Foo barum", None] == (2, 1)
+
+
+def test_graph_of_all_links(spark, tmp_path):
+    d = str(tmp_path)
+    link_tables(spark, d)
+    want, nodes = [], {("species", n) for n in ("Foo barum", "Baz quxum", "Lone wolfus")}
+    for _, species, _, age, formation, locality, confidence in brute_links():
+        for kind, value in (("age", age), ("formation", formation), ("locality", locality)):
+            if value:
+                want.append((f"species:{species}", f"{kind}:{value}", f"has_{kind}", confidence))
+                nodes.add((kind, value))
+    got = [tuple(r) for r in catalog.queries()["kg_edges_whole"](spark, d).select("source", "target", "relation", "confidence").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 7
+    assert {(r.type, r.name) for r in catalog.queries()["kg_nodes_whole"](spark, d).collect()} == nodes
