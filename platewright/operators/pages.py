@@ -10,7 +10,7 @@ from platewright.functions import patterns as P
 
 def mentions(text: Column, number: Column) -> Column:
     """Whether a page's text refers to a figure or plate of that number."""
-    return F.rlike(text, F.concat(F.lit(r"(?i)\b(?:fig(?:ure)?|plate)\s*\.?\s*\Q"), number, F.lit(r"\E\b")))
+    return F.rlike(text, F.concat(F.lit(P.unicode_aware(r"(?i)\b(?:fig(?:ure)?|plate)\s*\.?\s*") + r"\Q"), number, F.lit(r"\E" + P.unicode_aware(r"\b"))))
 
 
 def best_pages(figures: DataFrame, pages: DataFrame, paper: str = "paper_id") -> DataFrame:

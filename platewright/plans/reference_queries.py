@@ -84,18 +84,18 @@ def _explode_sql(pattern: str, cols: str, source: str, value: str) -> str:
 
 # --- Names and labels ---
 @query(f"WITH {CAP} " + _explode_sql(RE["TAXON_CANDIDATE"], "caption_id", "cap", "text").replace("m AS text", "m AS text, 0.65 AS score"))
-def taxon_candidates(s, d):
+def taxon_candidates(s, d, captions=_captions):
     """Names in captions by the caption pattern."""
-    return E.extracted(_captions(s, d), ["caption_id"], F.col("text"), P.TAXON_CANDIDATE, P.SCORE_CANDIDATE)
+    return E.extracted(captions(s, d), ["caption_id"], F.col("text"), P.TAXON_CANDIDATE, P.SCORE_CANDIDATE)
 
 
 @query(f"""WITH {CAP}, a AS ({_explode_sql(RE['TAXON_CANDIDATE'], 'caption_id', 'cap', 'name')}), b AS ({_explode_sql(RE['TAXON_RULE'], 'caption_id', 'cap', 'name')}),
  u AS (SELECT caption_id, name, pos, 0.65 AS score, 0 AS src FROM a UNION ALL SELECT caption_id, name, pos, 0.55, 1 FROM b),
  p AS (SELECT u.*, CAST(strpos(text, name) - 1 AS INTEGER) AS start FROM u JOIN cap USING (caption_id))
  SELECT caption_id, start, CAST(start + length(name) AS INTEGER) AS "end", name AS text, score FROM p QUALIFY row_number() OVER (PARTITION BY caption_id, start, lower(name) ORDER BY score DESC, src, pos) = 1""")
-def taxon_merge_best(s, d):
+def taxon_merge_best(s, d, captions=_captions):
     """Names of two patterns united, of the same place and name the best scored."""
-    c = _captions(s, d)
+    c = captions(s, d)
     a = E.extracted(c, ["caption_id"], F.col("text"), P.TAXON_CANDIDATE, P.SCORE_CANDIDATE).withColumn("src", F.lit(0))
     b = E.extracted(c, ["caption_id"], F.col("text"), P.TAXON_RULE, P.SCORE_RULE).withColumn("src", F.lit(1))
     both = a.unionByName(b).join(c.select("caption_id", F.col("text").alias("whole")), "caption_id")
@@ -111,16 +111,16 @@ def taxon_lexicon_match(s, d):
 
 
 @query(f"WITH {CAP} " + _explode_sql(RE["PANEL_LABEL"], "caption_id", "cap", "label"))
-def panel_labels(s, d):
+def panel_labels(s, d, captions=_captions):
     """Panel labels of captions in order."""
-    return E.labels_of(_captions(s, d), ["caption_id"], F.col("text"))
+    return E.labels_of(captions(s, d), ["caption_id"], F.col("text"))
 
 
 @query(r"""WITH t AS (SELECT paper_id, figure_id, token_id, pos, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM ocr_tokens)
  SELECT paper_id, figure_id, pos, token_id, trim(text, e' \t\n\r\x0b\x0c') AS text FROM t WHERE regexp_full_match(trim(text, e' \t\n\r\x0b\x0c'), '[A-Z]|[0-9]{1,2}')""")
-def label_tokens(s, d):
+def label_tokens(s, d, tokens=_tokens):
     """Recognised tokens that are panel labels."""
-    return A.label_tokens(_tokens(s, d))
+    return A.label_tokens(tokens(s, d))
 
 
 @query(f"WITH {CAP} SELECT paper_id, m AS species FROM (SELECT paper_id, unnest(regexp_extract_all(text, '{RE['TAXON_CANDIDATE']}', 1)) AS m FROM cap) GROUP BY ALL")
@@ -137,9 +137,9 @@ def label_vocabulary(s, d):
 
 # --- Captions, scales, sections ---
 @query(f"""WITH {CAP} SELECT caption_id, coalesce(nullif(figure_number, ''), nullif(regexp_extract(trim(text), '{RE['CAPTION_LEAD']}', 1), ''), nullif(regexp_extract(figure_id, '{RE['NUMBER_IN_ID']}', 1), '')) AS number FROM cap""")
-def caption_figure_number(s, d):
+def caption_figure_number(s, d, captions=_captions):
     """Each caption's figure number."""
-    return _captions(s, d).select("caption_id", figure_number(F.col("figure_number"), F.col("text"), F.col("figure_id")).alias("number"))
+    return captions(s, d).select("caption_id", figure_number(F.col("figure_number"), F.col("text"), F.col("figure_id")).alias("number"))
 
 
 _SCALE_SQL = rf"""s AS (SELECT caption_id, TRY_CAST(nullif(regexp_extract(t, '{RE['SCALE']}', 1), '') AS DOUBLE) AS value, lower(regexp_extract(t, '{RE['SCALE']}', 2)) AS unit FROM (SELECT caption_id, replace(replace(coalesce(caption, ''), 'μ', 'u'), 'µ', 'u') AS t FROM captions))"""
@@ -211,8 +211,8 @@ _REC = rf"""rec AS (SELECT geology_id, paper_id, section_title, CAST(i AS INTEGE
    SELECT *, regexp_extract_all(text, '{RE['AGE']}', 1) AS ages, trim(nullif(regexp_extract(text, '{RE['FORMATION']}', 1), '')) AS formation, {_LOC} AS locality FROM sec)) WHERE age IS NOT NULL OR formation IS NOT NULL OR locality IS NOT NULL)"""
 
 
-def _records(s, d):
-    return G.records_of(_sections(s, d), ["geology_id", "paper_id", "section_title"], F.col("text"))
+def _records(s, d, sections=_sections):
+    return G.records_of(sections(s, d), ["geology_id", "paper_id", "section_title"], F.col("text"))
 
 
 @query(f"WITH {SEC}, {_REC} SELECT * FROM rec")
@@ -345,9 +345,9 @@ def dedup_points(s, d):
 
 
 @query(f"WITH {PAN}, {TOK}, j AS (SELECT pan.paper_id, pan.figure_id, panel_index, string_agg(tok.text, ' ' ORDER BY pos, token_id) AS ocr_text FROM pan JOIN tok ON pan.paper_id = tok.paper_id AND pan.figure_id = tok.figure_id AND tok.bbox.x + tok.bbox.w * 0.5 BETWEEN x AND x + w AND tok.bbox.y + tok.bbox.h * 0.5 BETWEEN y AND y + h GROUP BY ALL) SELECT paper_id, figure_id, CAST(panel_index AS INTEGER) AS panel_index, ocr_text FROM j")
-def ocr_text_by_panel(s, d):
+def ocr_text_by_panel(s, d, tokens=_tokens):
     """The recognised text inside each panel."""
-    return A.text_in_panels(_panels(s, d), _tokens(s, d))
+    return A.text_in_panels(_panels(s, d), tokens(s, d))
 
 
 @query("SELECT paper_id, figure_id, string_agg(coalesce(text, ''), ' ' ORDER BY pos, token_id) AS block, count(*) AS ocr_count FROM ocr_tokens GROUP BY ALL")

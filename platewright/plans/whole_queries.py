@@ -10,6 +10,8 @@ from platewright.functions.text import all_matches
 from platewright.operators import association as A
 from platewright.operators import entities as E
 from platewright.operators import geology as G
+from platewright.operators import pages as PG
+from platewright.plans import reference_queries as Q
 from platewright.plans.reference_queries import FIG, _panels
 from platewright.sources.tables import load
 
@@ -24,7 +26,7 @@ def query(f):
 
 
 def _captions(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "captions").select("caption_id", "paper_id", "figure_id", "panel_labels", F.coalesce("caption", F.lit("")).alias("text"))
+    return load(s, d, "captions").select("caption_id", "paper_id", "figure_id", "figure_number", "page_index", "panel_labels", F.coalesce("caption", F.lit("")).alias("text"))
 
 
 def _figures(s: SparkSession, d: str) -> DataFrame:
@@ -61,7 +63,7 @@ def _links(s, d):
     """Links of the papers' caption names with their deduplicated rule records."""
     sections = _sections(s, d)
     order = ["geology_id", "age_pos"]
-    records = G.dedup_records(G.records_of(sections, ["geology_id", "paper_id", "section_title"], F.col("text")), ["paper_id", "age", "formation", "locality", "section_title"], order)
+    records = G.dedup_records(geology_records_whole(s, d), ["paper_id", "age", "formation", "locality", "section_title"], order)
     return G.link_records(species_seeds_whole(s, d), sections, records, order)
 
 
@@ -89,3 +91,69 @@ def kg_nodes_whole(s, d):
 def kg_edges_whole(s, d):
     """Edges of the graph of all links of caption names."""
     return G.graph_edges(_graph(s, d)[0])
+
+
+# --- The operators of reference_queries on the texts as they are ---
+@query
+def taxon_candidates_whole(s, d):
+    """Names in captions by the caption pattern."""
+    return Q.taxon_candidates(s, d, _captions)
+
+
+@query
+def taxon_merge_best_whole(s, d):
+    """Names of two patterns united, of the same place and name the best scored."""
+    return Q.taxon_merge_best(s, d, _captions)
+
+
+@query
+def panel_labels_whole(s, d):
+    """Panel labels of captions in order."""
+    return Q.panel_labels(s, d, _captions)
+
+
+@query
+def label_tokens_whole(s, d):
+    """Recognised tokens that are panel labels."""
+    return Q.label_tokens(s, d, _tokens)
+
+
+@query
+def caption_figure_number_whole(s, d):
+    """Each caption's figure number."""
+    return Q.caption_figure_number(s, d, _captions)
+
+
+@query
+def geology_records_whole(s, d):
+    """Rule records of all sections."""
+    return Q._records(s, d, _sections)
+
+
+@query
+def geology_dedup_whole(s, d):
+    """Of records alike in age, formation, locality and title the first."""
+    cols = ["age", "formation", "locality", "section_title"]
+    return G.dedup_records(geology_records_whole(s, d), cols, ["geology_id", "age_pos"]).select("geology_id", "age_pos", *cols)
+
+
+@query
+def ocr_text_by_panel_whole(s, d):
+    """The recognised text inside each panel."""
+    return Q.ocr_text_by_panel(s, d, _tokens)
+
+
+def _pages(s, d):
+    return _captions(s, d).where("page_index is not null").select("paper_id", "page_index", "text")
+
+
+@query
+def caption_page_lookup_whole(s, d):
+    """The page that each figure number leads to."""
+    return PG.best_pages(_captions(s, d), _pages(s, d))
+
+
+@query
+def candidate_pages_whole(s, d):
+    """The chosen page and its neighbours."""
+    return PG.neighbours(caption_page_lookup_whole(s, d), _pages(s, d))

@@ -81,3 +81,37 @@ def test_graph_of_all_links(spark, tmp_path):
     got = [tuple(r) for r in catalog.queries()["kg_edges_whole"](spark, d).select("source", "target", "relation", "confidence").collect()]
     assert sorted(got) == sorted(want) and len(got) == 7
     assert {(r.type, r.name) for r in catalog.queries()["kg_nodes_whole"](spark, d).collect()} == nodes
+
+
+#: Around names and labels: what is no word's edge in ASCII, or no white space there.
+ODD = ["\xa0", "\xad", "\u2013", "\u2019", "\u201c", "\u3000", "\u2009", "\x1c", "\x85", "é", "ß", "中", "²", "½", "٣", "_", "-", ".", " ", "\U0001d400", "\U0001f600", "ſ", "\u212a"]
+TEXTS = ["C:\xa0Karnocyrtina orjaaria"] + [t for o in ODD for t in (f"C:{o}Karnocyrtina orjaaria{o}x", f"Foo{o}barum sp.{o}and A{o}, {o}Late{o}Eocene{o}at{o}Gubbio{o}near", f"the{o}Foo{o}Formation{o}of Mio{o}cene, Baz quxum{o}A1) Fo{o}o bar")]
+
+
+@pytest.mark.parametrize("pattern", [P.TAXON_CANDIDATE, P.TAXON_RULE, P.TAXON_IN_CAPTION, P.PANEL_LABEL, P.AGE, P.FORMATION, P.LOCALITY, P.CAPTION_LEAD])
+def test_patterns_on_whole_texts(spark, pattern):
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    got = {r.i: r.m for r in frame.select("i", all_matches(F.col("t"), pattern).alias("m")).collect()}
+    assert got == {i: [m.group(1) for m in re.finditer(pattern, t)] for i, t in enumerate(TEXTS)}
+
+
+def test_queries_on_whole_texts(spark):
+    import pandas as pd
+
+    caps = pd.read_parquet(f"{SMALL}/captions.parquet")
+    want = {(i, n) for i, t in zip(caps.caption_id, caps.caption) if t for n in re.findall(P.TAXON_CANDIDATE, t)}
+    assert {(r.caption_id, r.text) for r in catalog.queries()["taxon_candidates_whole"](spark, SMALL).collect()} == want
+    geo = pd.read_parquet(f"{SMALL}/geology.parquet")
+    want = {(i, a) for i, t in zip(geo.geology_id, geo.evidence_text) if t for a in re.findall(P.AGE, t)}
+    rows = catalog.queries()["geology_records_whole"](spark, SMALL).collect()
+    assert {(r.geology_id, r.age) for r in rows if r.age} == want
+    texts = dict(zip(geo.geology_id, geo.evidence_text))
+    assert all(r.evidence_text == texts[r.geology_id][:300] for r in rows)
+
+
+def test_page_mentions_on_whole_texts(spark):
+    from platewright.operators.pages import mentions
+
+    texts = [f"see{o}Fig.{o}3{o}here" for o in ODD] + [f"Plate{o}3" for o in ODD]
+    got = [r.m for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(mentions(F.col("t"), F.lit("3")).alias("m")).collect()]
+    assert got == [bool(re.search(r"(?i)\b(?:fig(?:ure)?|plate)\s*\.?\s*3\b", t)) for t in texts]
