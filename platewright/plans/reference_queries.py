@@ -599,8 +599,8 @@ def corrections_latest(s, d):
 
 @query("SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN regexp_replace(printf('%.2f', n_chars::DOUBLE), '\\.?0+$', '') || ' Bytes' ELSE regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '\\.?0+$', '') || ' KB' END AS size FROM documents WHERE coalesce(n_chars, 0) < 1048576")
 def file_sizes(s, d):
-    """Sizes for people."""
-    return load(s, d, "documents").where("coalesce(n_chars, 0) < 1048576").select("doc_id", file_size(F.coalesce("n_chars", F.lit(0))).alias("size"))
+    """Sizes for people, of all documents; the SQL has those below 1 MiB only."""
+    return load(s, d, "documents").select("doc_id", file_size(F.coalesce("n_chars", F.lit(0))).alias("size"))
 
 
 @query("SELECT caption_id, entities[1].text AS first_entity, len(entities) AS taxon_count FROM captions WHERE len(entities) > 0")

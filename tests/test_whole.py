@@ -115,3 +115,10 @@ def test_page_mentions_on_whole_texts(spark):
     texts = [f"see{o}Fig.{o}3{o}here" for o in ODD] + [f"Plate{o}3" for o in ODD]
     got = [r.m for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(mentions(F.col("t"), F.lit("3")).alias("m")).collect()]
     assert got == [bool(re.search(r"(?i)\b(?:fig(?:ure)?|plate)\s*\.?\s*3\b", t)) for t in texts]
+
+
+def test_sizes_of_large_documents(spark, tmp_path):
+    d, sizes = str(tmp_path), {0: "0 Bytes", 1023: "1023 Bytes", 1024: "1 KB", 1_048_575: "1024 KB", 1_048_576: "1 MB", 1_572_864: "1.5 MB", 1_073_741_824: "1 GB", 5_368_709_120: "5 GB", 2_199_023_255_552: "2048 GB"}
+    save(spark, d, "documents", [(i, n) for i, n in enumerate(sizes)] + [(99, None)], "doc_id long, n_chars long")
+    got = {r.doc_id: r["size"] for r in catalog.queries()["file_sizes"](spark, d).collect()}
+    assert got == dict(enumerate(sizes.values())) | {99: "0 Bytes"}
