@@ -107,7 +107,7 @@ def _grams(key: Column) -> Column:
 def _ordered(keys: DataFrame) -> DataFrame:
     """(key, toks): every key's trigrams, the rarest over all keys first."""
     kind = F.substring("key", 1, 2)
-    tokens = keys.select("key", F.explode(F.transform(_grams(F.substring("key", 3, 1000)), lambda g: F.concat(kind, g))).alias("token"))
+    tokens = keys.select("key", F.explode(F.transform(_grams(F.expr("substring(key, 3)")), lambda g: F.concat(kind, g))).alias("token"))
     rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(rarity, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     return ranked.select("key", F.col("o.token").alias("toks"))
@@ -190,7 +190,7 @@ def map_names(values: DataFrame, col: str, reference: DataFrame, t: float = SIMI
     else:
         pairs = similarity_join(asked.select("key").distinct(), ref.select(F.col("other").alias("key")).distinct(), t)
         joined = asked.join(pairs, "key").join(ref, "other")
-        close = joined.withColumns(_rough()).where("rough_g <= 5 and rough_e <= 6").drop("rough_g", "rough_e")
+        close = joined.withColumns(_rough()).where("rough_g <= 8 and rough_e <= 6").drop("rough_g", "rough_e")
         judged = close.withColumn("_d", _slips("genus", "epithet", "r_genus", "r_epithet"))
         best = judged.select("*", "_d.d_genus", "_d.d_epithet").withColumn("distance", F.col("d_genus") + F.col("d_epithet")).where(_plausible())
         order = F.struct((-F.col("distance")).alias("d"), F.col("jaccard").alias("j"), (-F.col("name_id")).alias("i"), F.col("name_id").alias("name_id"))
@@ -268,7 +268,7 @@ def _by_index(asked: DataFrame, entries: list, t: float) -> DataFrame:
     listed = [(r["other"], r["r_genus"], r["r_epithet"], r["name_id"]) for r in entries]
     own = {x for key, *_ in listed for x in trigrams(key)}
     kind = F.substring("key", 1, 2)
-    tokens = asked.select(F.explode(F.transform(_grams(F.substring("key", 3, 1000)), lambda g: F.concat(kind, g))).alias("token"))
+    tokens = asked.select(F.explode(F.transform(_grams(F.expr("substring(key, 3)")), lambda g: F.concat(kind, g))).alias("token"))
     wanted = F.broadcast(spark.createDataFrame([(x,) for x in own], "token string")) if own else None  # tokens of the reference list
     counts = {r["token"]: r["n"] for r in tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if own else {}
     held = Counter(x for key in {k for k, *_ in listed} for x in trigrams(key))
