@@ -10,6 +10,7 @@ TAXON_RULE = r"\b([A-Z][a-zA-Z-]+\s+[a-z][a-zA-Z-]+(?:\s*(?:sp\.|spp\.|cf\.|aff\
 TAXON_IN_CAPTION = r"\b([A-Z][a-zA-Z-]+\s+[a-z][a-zA-Z-]+(?:\s+(?:sp\.|spp\.|cf\.|aff\.))?)\b"
 PANEL_LABEL = r"(?:\(|\[)?([A-Z]|[0-9]{1,2})(?:\)|\])?(?=\s*[:\.\-\)]|\s|,)"
 CAPTION_LEAD = r"(?i)^(?:fig(?:ure)?|plate)\s*\.?\s*(\d+[A-Za-z]?)\b[:\-\.]?\s*"
+FIGURE_REFERENCE = r"(?i)\b(?:fig(?:ure)?|plate)\s*\.?\s*"
 NUMBER_IN_ID = r"(\d+[A-Za-z]?)"
 AGE = (
     r"(?i)\b(Precambrian|Cambrian|Ordovician|Silurian|Devonian|Carboniferous|Permian|Triassic|Jurassic|Cretaceous|Paleocene|Eocene"

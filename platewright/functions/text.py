@@ -70,8 +70,8 @@ def micrometres(value: Column, unit: Column) -> Column:
 
 def scale_statement(text: Column, source: str, confidence: float) -> Column:
     """struct(value, unit, source, confidence) of the scale that a text states; null without one."""
-    value = F.regexp_extract(text, P.SCALE, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(text, P.SCALE, 2))
+    value = F.regexp_extract(text, P.unicode_aware(P.SCALE), 1).try_cast("double")
+    unit = F.lower(F.regexp_extract(text, P.unicode_aware(P.SCALE), 2))
     return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
 
 

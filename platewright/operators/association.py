@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from platewright.functions import patterns as P
-from platewright.functions.text import all_matches, distinct_in_order, label_scalar
+from platewright.functions.text import all_matches, distinct_in_order, label_scalar, strip
 from platewright.operators.boxes import centre_in
 
 FIGURE = ("paper_id", "figure_id")
@@ -114,8 +114,9 @@ def label_features(width: Column, height: Column) -> Column:
 def species_features(name: Column, index: Column) -> Column:
     """Twelve numbers that describe a species name and its position."""
     n = F.coalesce(name, F.lit(""))
-    words = F.when(F.trim(n) == "", 0).otherwise(F.size(F.split(F.trim(n), r"\s+")))
-    qualified = F.when(n.rlike(P.QUALIFIER), 1.0).otherwise(0.0)
+    bare = strip(n)
+    words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, P.unicode_aware(r"\s+"))))
+    qualified = F.when(n.rlike(P.unicode_aware(P.QUALIFIER)), 1.0).otherwise(0.0)
     return F.array(F.length(F.split(n, " ")[0]) / 30.0, words / 6.0, qualified, index / 100.0, *[F.lit(0.0)] * 7, F.lit(1.0))
 
 

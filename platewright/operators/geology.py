@@ -29,40 +29,36 @@ def dedup_records(records: DataFrame, keys: Sequence[str], order: Sequence[str])
     return records.withColumn("_rank", F.row_number().over(same)).where("_rank = 1").drop("_rank")
 
 
-def species_sections(species: DataFrame, sections: DataFrame, paper: str = "paper_id") -> DataFrame:
-    """Species and the sections of their paper whose text names them, in any case.
-
-    The paper is the join's key, containment its condition: papers never meet.
+def species_sections(species: DataFrame, sections: DataFrame, id_col: str, paper: str = "paper_id") -> DataFrame:
+    """(paper, species, ``id_col``), distinct: species (paper, species) with the sections of
+    their paper whose text holds them, in any case, at any place.
+
+    ``id_col`` identifies a section. A name is sought where its first white space is:
+    the two characters before it, the white space and the two after are the key, with
+    the paper, by which names meet the places of the texts that may hold them; only
+    there is the text compared. Work grows with the texts and with what such places
+    share, not with names times sections. Names without white space between two
+    characters on either side are compared with all of their paper's sections.
     """
-    s, t = species.alias("s"), sections.alias("t")
-    on = (F.col(f"s.{paper}") == F.col(f"t.{paper}")) & F.contains(F.lower(F.col("t.text")), F.lower(F.col("s.species")))
-    return s.join(t, on).select(F.col(f"s.{paper}"), "s.species", "t.section_title", "t.text")
-
-
-def link_species(species: DataFrame, sections: DataFrame, geology: DataFrame, paper: str = "paper_id") -> DataFrame:
-    """(paper, species, geology_id): species linked to the records of the sections
-    that name them, by the section's title; a species without any to the paper's
-    first record."""
-    named = species_sections(species, sections, paper).select(paper, "species", "section_title").distinct()
-    linked = named.join(geology.select(paper, "section_title", "geology_id"), [paper, "section_title"]).select(paper, "species", "geology_id")
-    first = geology.groupBy(paper).agg(F.min("geology_id").alias("geology_id"))
-    lone = species.join(linked, [paper, "species"], "left_anti").join(first, paper)
-    return linked.unionByName(lone.select(paper, "species", "geology_id"))
+    at = P.unicode_aware(r"[^\s]{2}\s+[^\s]{2}")
+    names = species.select(paper, "species", F.lower("species").alias("_low")).where("species <> ''").distinct().withColumn("_key", F.regexp_extract("_low", at, 0))
+    texts = sections.select(paper, id_col, F.lower("text").alias("_text")).where("text is not null")
+    places = texts.select(paper, id_col, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?=({at}))"), F.lit(1)))).alias("_key"))
+    near = names.where("_key <> ''").join(places, [paper, "_key"]).select(paper, "species", "_low", id_col)
+    lone = names.where("_key = ''").join(texts.select(paper, id_col), paper).select(paper, "species", "_low", id_col)
+    return near.unionByName(lone).join(texts, [paper, id_col]).where(F.contains("_text", "_low")).select(paper, "species", id_col).distinct()
 
 
-def link_records(species: DataFrame, sections: DataFrame, records: DataFrame, order: Sequence[str], paper: str = "paper_id", parts: int = 8) -> DataFrame:
+def link_records(species: DataFrame, sections: DataFrame, records: DataFrame, order: Sequence[str], id_col: str = "geology_id", paper: str = "paper_id") -> DataFrame:
     """(paper, species, section_title, age, formation, locality, confidence, *order): names linked to rule records.
 
     ``species``: (paper, species), distinct. ``records``: (paper, section_title, age, formation, locality, confidence, *order),
     deduplicated per paper. A name is linked to the records that bear the title of a section of its paper that names
     it, once per such section (null titles agree); a name without any to the paper's first record by ``order``.
-    The paper stays the key; a paper's sections are dealt into ``parts``, so that a large one isn't one task.
     """
     cols = ["section_title", "age", "formation", "locality", "confidence", *order]
-    salt = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    s = species.select(paper, "species", F.lower("species").alias("_low"), salt.alias("_part"))
-    t = sections.select(paper, "section_title", F.lower("text").alias("_text"), F.pmod(F.xxhash64("text", "section_title"), F.lit(parts)).cast("int").alias("_part"))
-    named = s.join(t, [paper, "_part"]).where(F.contains("_text", "_low")).groupBy(paper, "species", "section_title").agg(F.count(F.lit(1)).alias("_times"))
+    found = species_sections(species, sections, id_col, paper).join(sections.select(paper, id_col, "section_title"), [paper, id_col])
+    named = found.groupBy(paper, "species", "section_title").agg(F.count(F.lit(1)).alias("_times"))
     n, r = named.alias("n"), records.alias("r")
     on = (F.col(f"n.{paper}") == F.col(f"r.{paper}")) & F.col("n.section_title").eqNullSafe(F.col("r.section_title"))
     linked = n.join(r, on).select(f"n.{paper}", "n.species", *[f"r.{c}" for c in cols], F.explode(F.array_repeat(F.lit(0), F.col("n._times").cast("int"))).alias("_again")).drop("_again")

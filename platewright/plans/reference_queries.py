@@ -17,6 +17,7 @@ from platewright.operators import evaluation as V
 from platewright.operators import geology as G
 from platewright.operators import pages as PG
 from platewright.operators import refinement as R
+from platewright.plans.sql_patterns import every, first, marked, sql_pattern, stripped
 from platewright.sources.tables import load
 
 FIG = ["paper_id", "figure_id"]
@@ -24,19 +25,15 @@ FIG = ["paper_id", "figure_id"]
 WIDTH, HEIGHT = 1400.0, 1400.0
 
 
-# --- Shared inputs. Patterns are ASCII, so that texts are compared with other characters as underscores. ---
-def ascii_only(c):
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "_")
-
-
+# --- Shared inputs: the texts as they are, null as the empty text ---
 def _captions(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "captions").select("caption_id", "paper_id", "figure_id", "figure_number", "page_index", ascii_only(F.col("caption")).alias("text"))
+    return load(s, d, "captions").select("caption_id", "paper_id", "figure_id", "figure_number", "page_index", "panel_labels", F.coalesce("caption", F.lit("")).alias("text"))
 
 
 def _figures(s: SparkSession, d: str) -> DataFrame:
     """One caption per figure: the one of the smallest id."""
-    first = F.min(F.struct("caption_id", "text", "figure_number", "page_index")).alias("_c")
-    return _captions(s, d).groupBy(*FIG).agg(first).select(*FIG, "_c.caption_id", F.col("_c.text").alias("caption"), "_c.figure_number", "_c.page_index")
+    first_one = F.min_by(F.struct("caption_id", "text", "figure_number", "page_index", "panel_labels"), "caption_id").alias("_c")
+    return _captions(s, d).groupBy(*FIG).agg(first_one).select(*FIG, "_c.caption_id", F.col("_c.text").alias("caption"), "_c.figure_number", "_c.page_index", "_c.panel_labels")
 
 
 def _panels(s: SparkSession, d: str) -> DataFrame:
@@ -45,21 +42,18 @@ def _panels(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "ocr_tokens").select("token_id", *FIG, "pos", ascii_only(F.col("text")).alias("text"), "confidence", "bbox")
+    return load(s, d, "ocr_tokens").select("token_id", *FIG, "pos", F.coalesce("text", F.lit("")).alias("text"), "confidence", "bbox")
 
 
 def _sections(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "geology").select("geology_id", "paper_id", "section_id", "section_title", ascii_only(F.col("evidence_text")).alias("text"))
+    return load(s, d, "geology").select("geology_id", "paper_id", "section_id", "section_title", F.coalesce("evidence_text", F.lit("")).alias("text"))
 
 
-CAP = r"cap AS (SELECT caption_id, paper_id, figure_id, figure_number, page_index, regexp_replace(coalesce(caption, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM captions)"
-FIGS = CAP + ", figs AS (SELECT paper_id, figure_id, caption_id, text AS caption, figure_number, page_index FROM cap QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY caption_id) = 1)"
+CAP = "cap AS (SELECT caption_id, paper_id, figure_id, figure_number, page_index, panel_labels, coalesce(caption, '') AS text FROM captions)"
+FIGS = CAP + ", figs AS (SELECT paper_id, figure_id, caption_id, text AS caption, figure_number, page_index, panel_labels FROM cap QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY caption_id) = 1)"
 PAN = "pan AS (SELECT match_id, paper_id, figure_id, panel_id, species, label_text, panel_path, confidence AS score, bbox[1] AS x, bbox[2] AS y, bbox[3] AS w, bbox[4] AS h, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY bbox[2], bbox[1], match_id) - 1 AS panel_index FROM match_results WHERE bbox IS NOT NULL AND len(bbox) = 4)"
-TOK = r"tok AS (SELECT token_id, paper_id, figure_id, pos, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS text, confidence, bbox FROM ocr_tokens)"
-SEC = r"sec AS (SELECT geology_id, paper_id, section_id, section_title, regexp_replace(coalesce(evidence_text, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM geology)"
-RE = {k: getattr(P, k).replace("'", "''").replace("(?iu)", "(?i)") for k in ("TAXON_CANDIDATE", "TAXON_RULE", "CAPTION_LEAD", "NUMBER_IN_ID", "AGE", "FORMATION", "LOCALITY", "JSON_OBJECT")}
-RE["PANEL_LABEL"] = r"(?:\(|\[)?([A-Z]|[0-9]{1,2})(?:\)|\])?(?:\s*[:\.\-\)]|\s|,)"
-RE["SCALE"] = r"(?i)(?:scale\s*bar\s*(?:=|:)?\s*|bar\s*=\s*)(\d+(?:\.\d+)?)\s*(um|mm|nm)"
+TOK = "tok AS (SELECT token_id, paper_id, figure_id, pos, coalesce(text, '') AS text, confidence, bbox FROM ocr_tokens)"
+SEC = "sec AS (SELECT geology_id, paper_id, section_id, section_title, coalesce(evidence_text, '') AS text FROM geology)"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -78,18 +72,19 @@ def query(sql: str | None = None):
 
 def _explode_sql(pattern: str, cols: str, source: str, value: str) -> str:
     """Distinct matches by first occurrence, with their positions."""
+    found = every("text", pattern, with_marks=r"\b" in pattern)
     return f"""SELECT {cols}, CAST(row_number() OVER (PARTITION BY {cols} ORDER BY first_at) - 1 AS INTEGER) AS pos, m AS {value} FROM (
-      SELECT {cols}, m, min(i) AS first_at FROM (SELECT {cols}, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT {cols}, regexp_extract_all(text, '{pattern}', 1) AS l FROM {source})) GROUP BY ALL)"""
+      SELECT {cols}, m, min(i) AS first_at FROM (SELECT {cols}, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT {cols}, {found} AS l FROM {source})) GROUP BY ALL)"""
 
 
 # --- Names and labels ---
-@query(f"WITH {CAP} " + _explode_sql(RE["TAXON_CANDIDATE"], "caption_id", "cap", "text").replace("m AS text", "m AS text, 0.65 AS score"))
+@query(f"WITH {CAP} " + _explode_sql(P.TAXON_CANDIDATE, "caption_id", "cap", "text").replace("m AS text", "m AS text, 0.65 AS score"))
 def taxon_candidates(s, d, captions=_captions):
     """Names in captions by the caption pattern."""
     return E.extracted(captions(s, d), ["caption_id"], F.col("text"), P.TAXON_CANDIDATE, P.SCORE_CANDIDATE)
 
 
-@query(f"""WITH {CAP}, a AS ({_explode_sql(RE['TAXON_CANDIDATE'], 'caption_id', 'cap', 'name')}), b AS ({_explode_sql(RE['TAXON_RULE'], 'caption_id', 'cap', 'name')}),
+@query(f"""WITH {CAP}, a AS ({_explode_sql(P.TAXON_CANDIDATE, 'caption_id', 'cap', 'name')}), b AS ({_explode_sql(P.TAXON_RULE, 'caption_id', 'cap', 'name')}),
  u AS (SELECT caption_id, name, pos, 0.65 AS score, 0 AS src FROM a UNION ALL SELECT caption_id, name, pos, 0.55, 1 FROM b),
  p AS (SELECT u.*, CAST(strpos(text, name) - 1 AS INTEGER) AS start FROM u JOIN cap USING (caption_id))
  SELECT caption_id, start, CAST(start + length(name) AS INTEGER) AS "end", name AS text, score FROM p QUALIFY row_number() OVER (PARTITION BY caption_id, start, lower(name) ORDER BY score DESC, src, pos) = 1""")
@@ -110,20 +105,25 @@ def taxon_lexicon_match(s, d):
     return E.lexicon_matches(load(s, d, "captions"), "caption_id", "caption", load(s, d, "species_list"), "canonical_name")
 
 
-@query(f"WITH {CAP} " + _explode_sql(RE["PANEL_LABEL"], "caption_id", "cap", "label"))
+@query(f"WITH {CAP} " + _explode_sql(P.PANEL_LABEL, "caption_id", "cap", "label"))
 def panel_labels(s, d, captions=_captions):
     """Panel labels of captions in order."""
     return E.labels_of(captions(s, d), ["caption_id"], F.col("text"))
 
 
-@query(r"""WITH t AS (SELECT paper_id, figure_id, token_id, pos, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS text FROM ocr_tokens)
- SELECT paper_id, figure_id, pos, token_id, trim(text, e' \t\n\r\x0b\x0c') AS text FROM t WHERE regexp_full_match(trim(text, e' \t\n\r\x0b\x0c'), '[A-Z]|[0-9]{1,2}')""")
+_TOKEN_LABELS = f"(SELECT paper_id, figure_id, pos, token_id, {stripped('text')} AS label FROM tok WHERE regexp_full_match({stripped('text')}, '[A-Z]|{chr(92)}p{{Nd}}{{1,2}}'))"
+
+
+@query(f"WITH {TOK} SELECT paper_id, figure_id, pos, token_id, label AS text FROM {_TOKEN_LABELS}")
 def label_tokens(s, d, tokens=_tokens):
     """Recognised tokens that are panel labels."""
     return A.label_tokens(tokens(s, d))
 
 
-@query(f"WITH {CAP} SELECT paper_id, m AS species FROM (SELECT paper_id, unnest(regexp_extract_all(text, '{RE['TAXON_CANDIDATE']}', 1)) AS m FROM cap) GROUP BY ALL")
+_SEEDS = f"seeds AS (SELECT DISTINCT paper_id, m AS species FROM (SELECT paper_id, unnest({every('text', P.TAXON_CANDIDATE)}) AS m FROM cap))"
+
+
+@query(f"WITH {CAP}, {_SEEDS} SELECT * FROM seeds")
 def species_seeds(s, d):
     """The distinct names of each paper."""
     return _captions(s, d).select("paper_id", F.explode(all_matches(F.col("text"), P.TAXON_CANDIDATE)).alias("species")).distinct()
@@ -136,35 +136,34 @@ def label_vocabulary(s, d):
 
 
 # --- Captions, scales, sections ---
-@query(f"""WITH {CAP} SELECT caption_id, coalesce(nullif(figure_number, ''), nullif(regexp_extract(trim(text), '{RE['CAPTION_LEAD']}', 1), ''), nullif(regexp_extract(figure_id, '{RE['NUMBER_IN_ID']}', 1), '')) AS number FROM cap""")
+@query(f"""WITH {CAP} SELECT caption_id, coalesce(nullif(figure_number, ''), {first("trim(text)", P.CAPTION_LEAD)}, {first("figure_id", P.NUMBER_IN_ID, with_marks=False)}) AS number FROM cap""")
 def caption_figure_number(s, d, captions=_captions):
     """Each caption's figure number."""
     return captions(s, d).select("caption_id", figure_number(F.col("figure_number"), F.col("text"), F.col("figure_id")).alias("number"))
 
 
-_SCALE_SQL = rf"""s AS (SELECT caption_id, TRY_CAST(nullif(regexp_extract(t, '{RE['SCALE']}', 1), '') AS DOUBLE) AS value, lower(regexp_extract(t, '{RE['SCALE']}', 2)) AS unit FROM (SELECT caption_id, replace(replace(coalesce(caption, ''), 'μ', 'u'), 'µ', 'u') AS t FROM captions))"""
+_SCALE = sql_pattern(P.SCALE, marked=False)
+_SCALE_SQL = f"""s AS (SELECT caption_id, TRY_CAST(nullif(regexp_extract(t, '{_SCALE}', 1), '') AS DOUBLE) AS value, lower(regexp_extract(t, '{_SCALE}', 2)) AS unit FROM (SELECT caption_id, coalesce(caption, '') AS t FROM captions))"""
 
 
-@query(f"WITH {_SCALE_SQL} SELECT caption_id, value, unit, CASE unit WHEN 'um' THEN value WHEN 'mm' THEN value * 1000 WHEN 'nm' THEN value / 1000 END AS um FROM s WHERE value IS NOT NULL")
+@query(f"WITH {_SCALE_SQL} SELECT caption_id, value, unit, CASE WHEN unit IN ('um', 'μm') THEN value WHEN unit = 'mm' THEN value * 1000 WHEN unit = 'nm' THEN value / 1000 END AS um FROM s WHERE value IS NOT NULL")
 def scale_caption(s, d):
     """The scale that a caption states, in µm."""
-    text = F.translate(F.coalesce("caption", F.lit("")), "μµ", "uu")
-    rows = load(s, d, "captions").select("caption_id", scale_statement(text, "caption", P.CONF_SCALE_CAPTION).alias("s")).where("s is not null")
+    rows = load(s, d, "captions").select("caption_id", scale_statement(F.coalesce("caption", F.lit("")), "caption", P.CONF_SCALE_CAPTION).alias("s")).where("s is not null")
     return rows.select("caption_id", "s.value", "s.unit", micrometres(F.col("s.value"), F.col("s.unit")).alias("um"))
 
 
-@query(rf"""WITH {_SCALE_SQL}, c AS (SELECT paper_id, figure_id, arg_min(value, caption_id) FILTER (value IS NOT NULL) AS cv, arg_min(unit, caption_id) FILTER (value IS NOT NULL) AS cu FROM s JOIN captions USING (caption_id) GROUP BY ALL),
- o AS (SELECT paper_id, figure_id, string_agg(replace(replace(coalesce(text, ''), 'μ', 'u'), 'µ', 'u'), ' ' ORDER BY pos, token_id) AS t FROM ocr_tokens GROUP BY ALL),
- ov AS (SELECT paper_id, figure_id, TRY_CAST(nullif(regexp_extract(t, '{RE['SCALE']}', 1), '') AS DOUBLE) AS v, lower(regexp_extract(t, '{RE['SCALE']}', 2)) AS u FROM o)
+@query(f"""WITH {_SCALE_SQL}, c AS (SELECT paper_id, figure_id, arg_min(value, caption_id) FILTER (value IS NOT NULL) AS cv, arg_min(unit, caption_id) FILTER (value IS NOT NULL) AS cu FROM s JOIN captions USING (caption_id) GROUP BY ALL),
+ o AS (SELECT paper_id, figure_id, string_agg(coalesce(text, ''), ' ' ORDER BY pos, token_id) AS t FROM ocr_tokens GROUP BY ALL),
+ ov AS (SELECT paper_id, figure_id, TRY_CAST(nullif(regexp_extract(t, '{_SCALE}', 1), '') AS DOUBLE) AS v, lower(regexp_extract(t, '{_SCALE}', 2)) AS u FROM o)
  SELECT paper_id, figure_id, coalesce(cv, v) AS value, CASE WHEN cv IS NOT NULL THEN cu ELSE u END AS unit, CASE WHEN cv IS NOT NULL THEN 'caption' ELSE 'ocr' END AS source FROM c FULL JOIN ov USING (paper_id, figure_id) WHERE coalesce(cv, v) IS NOT NULL""")
 def scale_merge(s, d):
     """Each figure's scale: the caption's, else that of its recognised text."""
-    u = lambda c: F.translate(F.coalesce(c, F.lit("")), "μµ", "uu")
-    caps = load(s, d, "captions").select(*FIG, "caption_id", scale_statement(u(F.col("caption")), "caption", P.CONF_SCALE_CAPTION).alias("c"))
-    first = caps.where("c is not null").groupBy(*FIG).agg(F.min(F.struct("caption_id", "c")).alias("m")).select(*FIG, F.col("m.c").alias("c"))
+    caps = load(s, d, "captions").select(*FIG, "caption_id", scale_statement(F.coalesce("caption", F.lit("")), "caption", P.CONF_SCALE_CAPTION).alias("c"))
+    stated = caps.where("c is not null").groupBy(*FIG).agg(F.min_by("c", "caption_id").alias("c"))
     block = load(s, d, "ocr_tokens").groupBy(*FIG).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    ocr = block.select(*FIG, scale_statement(u(F.array_join("t.text", " ")), "ocr", P.CONF_SCALE_OCR).alias("o"))
-    both = first.join(ocr, FIG, "full").withColumn("s", merged_scale(F.col("c"), F.col("o"))).where("s is not null")
+    ocr = block.select(*FIG, scale_statement(F.array_join("t.text", " "), "ocr", P.CONF_SCALE_OCR).alias("o"))
+    both = stated.join(ocr, FIG, "full").withColumn("s", merged_scale(F.col("c"), F.col("o"))).where("s is not null")
     return both.select(*FIG, "s.value", "s.unit", "s.source")
 
 
@@ -205,10 +204,9 @@ def path_ids(s, d):
 
 
 # --- Geology and graph ---
-_LOC = r"nullif(trim(regexp_extract(text, '%s', 1), ' .,;'), '')" % RE["LOCALITY"]
-_REC = rf"""rec AS (SELECT geology_id, paper_id, section_title, CAST(i AS INTEGER) AS age_pos, age, formation, locality, substring(text, 1, 300) AS evidence_text, 0.55 AS confidence FROM (
+_REC = f"""rec AS (SELECT geology_id, paper_id, section_title, CAST(i AS INTEGER) AS age_pos, age, formation, locality, substring(text, 1, 300) AS evidence_text, 0.55 AS confidence FROM (
   SELECT *, unnest(CASE WHEN len(ages) = 0 THEN [NULL] ELSE ages END) AS age, unnest(CASE WHEN len(ages) = 0 THEN [NULL] ELSE range(len(ages)) END) AS i FROM (
-   SELECT *, regexp_extract_all(text, '{RE['AGE']}', 1) AS ages, trim(nullif(regexp_extract(text, '{RE['FORMATION']}', 1), '')) AS formation, {_LOC} AS locality FROM sec)) WHERE age IS NOT NULL OR formation IS NOT NULL OR locality IS NOT NULL)"""
+   SELECT *, {every('text', P.AGE)} AS ages, trim({first('text', P.FORMATION)}) AS formation, nullif(trim({first('text', P.LOCALITY)}, ' .,;'), '') AS locality FROM sec)) WHERE age IS NOT NULL OR formation IS NOT NULL OR locality IS NOT NULL)"""
 
 
 def _records(s, d, sections=_sections):
@@ -227,62 +225,77 @@ def geology_dedup(s, d):
     return G.dedup_records(_records(s, d), ["age", "formation", "locality", "section_title"], ["geology_id", "age_pos"]).select("geology_id", "age_pos", "age", "formation", "locality", "section_title")
 
 
-_SPG = f"sp AS (SELECT DISTINCT paper_id, entity AS species FROM (SELECT paper_id, unnest(regexp_extract_all(regexp_replace(coalesce(evidence_text, ''), '[^\\x00-\\x7F]', '_', 'g'), '{RE['TAXON_CANDIDATE']}', 1)) AS entity FROM geology))"
-_LINKS = f"""named AS (SELECT DISTINCT sp.paper_id, sp.species, sec.section_title FROM sp JOIN sec ON sp.paper_id = sec.paper_id AND contains(lower(sec.text), lower(sp.species))),
- lk AS (SELECT named.paper_id, species, geology_id FROM named JOIN sec ON named.paper_id = sec.paper_id AND named.section_title = sec.section_title),
- links AS (SELECT * FROM lk UNION ALL SELECT sp.paper_id, sp.species, f.g FROM sp JOIN (SELECT paper_id, min(geology_id) AS g FROM geology GROUP BY ALL) f ON sp.paper_id = f.paper_id WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.paper_id = sp.paper_id AND lk.species = sp.species))"""
+_LINKS = f"""{CAP}, {_SEEDS}, {SEC}, {_REC}, drec AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY paper_id, age, formation, locality, section_title ORDER BY confidence DESC, geology_id, age_pos) = 1),
+ named AS (SELECT seeds.paper_id, species, section_title FROM seeds JOIN sec ON seeds.paper_id = sec.paper_id AND contains(lower(sec.text), lower(species))),
+ lk AS (SELECT named.paper_id, species, r.section_title, r.age, r.formation, r.locality, r.confidence, r.geology_id, r.age_pos FROM named JOIN drec r ON named.paper_id = r.paper_id AND named.section_title IS NOT DISTINCT FROM r.section_title),
+ links AS (SELECT * FROM lk UNION ALL SELECT seeds.paper_id, species, f.section_title, f.age, f.formation, f.locality, f.confidence, f.geology_id, f.age_pos
+  FROM seeds JOIN (SELECT * FROM drec QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY geology_id, age_pos) = 1) f ON seeds.paper_id = f.paper_id
+  WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.paper_id = seeds.paper_id AND lk.species = seeds.species))"""
 
 
-def _links(s, d):
-    sec = _sections(s, d)
-    species = sec.select("paper_id", F.explode(all_matches(F.col("text"), P.TAXON_CANDIDATE)).alias("species")).distinct()
-    return G.link_species(species, sec, sec)
+def paper_links(s, d):
+    """Names in a paper's captions with its deduplicated rule records: those of the sections that name them, else the paper's first."""
+    order = ["geology_id", "age_pos"]
+    records = G.dedup_records(_records(s, d), ["paper_id", "age", "formation", "locality", "section_title"], order)
+    return G.link_records(species_seeds(s, d), _sections(s, d), records, order)
 
 
-@query(f"WITH {SEC}, {_SPG}, {_LINKS} SELECT species, section_title, count(*) AS n_links, count(DISTINCT links.paper_id) AS papers FROM links JOIN sec USING (geology_id) GROUP BY ALL")
+@query(f"WITH {_LINKS} SELECT * FROM links")
 def species_geology_links(s, d):
-    """How often each name is linked to records of each kind of section."""
-    rows = _links(s, d).join(_sections(s, d).select("geology_id", "section_title"), "geology_id")
-    return rows.groupBy("species", "section_title").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("paper_id").alias("papers"))
+    """The geological records that each paper's names are linked to."""
+    return paper_links(s, d)
 
 
-_KG = "kg AS (SELECT species, age, formation, locality, confidence FROM (SELECT DISTINCT paper_id, figure_id, species FROM match_results WHERE species IS NOT NULL) m JOIN (SELECT paper_id, age, formation, locality, confidence FROM geology QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY geology_id) = 1) g USING (paper_id))"
+_KG = f"WITH {_LINKS}, kg AS (SELECT species, age, formation, locality, confidence FROM links UNION ALL SELECT species, NULL, NULL, NULL, NULL FROM seeds WHERE paper_id IN (SELECT paper_id FROM geology))"
 
 
 def _graph(s, d):
-    first = load(s, d, "geology").groupBy("paper_id").agg(F.min(F.struct("geology_id", "age", "formation", "locality", "confidence")).alias("g"))
-    return load(s, d, "match_results").where("species is not null").select("paper_id", "figure_id", "species").distinct().join(first, "paper_id").select("species", "g.age", "g.formation", "g.locality", "g.confidence")
+    """All links, and the names of papers that have sections but no record, as nodes alone."""
+    links = paper_links(s, d).select("species", "age", "formation", "locality", "confidence")
+    named = species_seeds(s, d).join(load(s, d, "geology").select("paper_id").distinct(), "paper_id", "left_semi")
+    alone = named.select("species", *[F.lit(None).cast("string").alias(c) for c in ("age", "formation", "locality")], F.lit(None).cast("double").alias("confidence"))
+    return links, links.unionByName(alone)
 
 
-@query(f"WITH {_KG} SELECT DISTINCT type || ':' || name AS id, type, name FROM (SELECT 'species' AS type, species AS name FROM kg UNION ALL SELECT 'age', age FROM kg UNION ALL SELECT 'formation', formation FROM kg UNION ALL SELECT 'locality', locality FROM kg) WHERE name <> ''")
+@query(f"{_KG} SELECT DISTINCT type || ':' || name AS id, type, name FROM (SELECT 'species' AS type, species AS name FROM kg UNION ALL SELECT 'age', age FROM kg UNION ALL SELECT 'formation', formation FROM kg UNION ALL SELECT 'locality', locality FROM kg) WHERE name <> ''")
 def kg_nodes(s, d):
     """Nodes of the species and geology graph."""
-    return G.graph_nodes(_graph(s, d))
+    return G.graph_nodes(_graph(s, d)[1])
 
 
-@query(f"WITH {_KG} SELECT 'species:' || species AS source, kind || ':' || name AS target, 'has_' || kind AS relation, confidence FROM (SELECT species, confidence, 'age' AS kind, age AS name FROM kg UNION ALL SELECT species, confidence, 'formation', formation FROM kg UNION ALL SELECT species, confidence, 'locality', locality FROM kg) WHERE name <> '' AND species <> ''")
+@query(f"{_KG} SELECT 'species:' || species AS source, kind || ':' || name AS target, 'has_' || kind AS relation, confidence FROM (SELECT species, confidence, 'age' AS kind, age AS name FROM kg UNION ALL SELECT species, confidence, 'formation', formation FROM kg UNION ALL SELECT species, confidence, 'locality', locality FROM kg) WHERE name <> '' AND species <> ''")
 def kg_edges(s, d):
     """Edges of the species and geology graph."""
-    return G.graph_edges(_graph(s, d))
+    return G.graph_edges(_graph(s, d)[0])
 
 
 # --- Pages ---
-_PAGES = f"{CAP}, pages AS (SELECT caption_id, paper_id, page_index, text FROM cap WHERE page_index IS NOT NULL), fn AS (SELECT DISTINCT paper_id, figure_number FROM captions WHERE figure_number IS NOT NULL), hits AS (SELECT fn.paper_id, fn.figure_number, page_index FROM fn JOIN pages USING (paper_id) WHERE regexp_matches(text, '(?i)\\b(?:fig(?:ure)?|plate)\\s*\\.?\\s*' || fn.figure_number || '\\b'))"
+# A number in a marked text: marks where words begin and end inside it, one behind it.
+_IN_TEXT = rf"regexp_replace(regexp_replace(regexp_escape(fn.figure_number), '([\p{{L}}\p{{N}}_])(\\?[^\p{{L}}\p{{N}}_\\])', '\1{chr(0xE000)}\2', 'g'), '([^\p{{L}}\p{{N}}_\\])([\p{{L}}\p{{N}}_])', '\1{chr(0xE000)}\2', 'g')"
+_PAGES = f"""{CAP}, pages AS (SELECT caption_id, paper_id, page_index, {marked("text")} AS text FROM cap WHERE page_index IS NOT NULL), fn AS (SELECT DISTINCT paper_id, figure_number FROM captions WHERE figure_number IS NOT NULL),
+ hits AS (SELECT DISTINCT fn.paper_id, fn.figure_number, page_index FROM fn JOIN pages USING (paper_id) WHERE figure_number <> '' AND regexp_matches(text, '{sql_pattern(P.FIGURE_REFERENCE)}{chr(0xE000)}?' || {_IN_TEXT} || '{chr(0xE000)}')),
+ best AS (SELECT fn.paper_id, fn.figure_number, coalesce(min(hits.page_index), f.first) AS page_index FROM fn JOIN (SELECT paper_id, min(page_index) AS first FROM pages GROUP BY ALL) f ON fn.paper_id = f.paper_id LEFT JOIN hits ON hits.paper_id = fn.paper_id AND hits.figure_number = fn.figure_number GROUP BY fn.paper_id, fn.figure_number, f.first)"""
 
 
 def _pages(s, d):
     return _captions(s, d).where("page_index is not null").select("paper_id", "page_index", "text")
 
 
-@query(f"WITH {_PAGES} SELECT fn.paper_id, fn.figure_number, coalesce(min(hits.page_index), f.first) AS page_index FROM fn JOIN (SELECT paper_id, min(page_index) AS first FROM pages GROUP BY ALL) f ON fn.paper_id = f.paper_id LEFT JOIN hits ON hits.paper_id = fn.paper_id AND hits.figure_number = fn.figure_number GROUP BY fn.paper_id, fn.figure_number, f.first")
+@query(f"WITH {_PAGES} SELECT * FROM best")
 def caption_page_lookup(s, d):
     """The page that each figure number leads to."""
     return PG.best_pages(_captions(s, d), _pages(s, d))
 
 
-@query(f"""WITH {_PAGES}, best AS (SELECT fn.paper_id, fn.figure_number, coalesce(min(hits.page_index), f.first) AS b FROM fn JOIN (SELECT paper_id, min(page_index) AS first FROM pages GROUP BY ALL) f ON fn.paper_id = f.paper_id LEFT JOIN hits ON hits.paper_id = fn.paper_id AND hits.figure_number = fn.figure_number GROUP BY fn.paper_id, fn.figure_number, f.first)
- SELECT best.paper_id, figure_number, p.page_index FROM best JOIN (SELECT DISTINCT paper_id, page_index FROM pages) p ON best.paper_id = p.paper_id AND p.page_index BETWEEN b - 1 AND b + 1""")
+@query(f"""WITH {_PAGES} SELECT * FROM hits UNION ALL SELECT fn.paper_id, figure_number, p.page_index FROM fn JOIN (SELECT DISTINCT paper_id, page_index FROM pages QUALIFY dense_rank() OVER (PARTITION BY paper_id ORDER BY page_index) <= 3) p ON fn.paper_id = p.paper_id
+ WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.paper_id = fn.paper_id AND hits.figure_number = fn.figure_number)""")
 def candidate_pages(s, d):
+    """All pages that mention a figure, else the paper's first three."""
+    return PG.candidate_pages(_captions(s, d), _pages(s, d))
+
+
+@query(f"WITH {_PAGES} SELECT best.paper_id, figure_number, p.page_index FROM best JOIN (SELECT DISTINCT paper_id, page_index FROM pages) p ON best.paper_id = p.paper_id AND p.page_index BETWEEN best.page_index - 1 AND best.page_index + 1")
+def neighbour_pages(s, d):
     """The chosen page and its neighbours."""
     return PG.neighbours(PG.best_pages(_captions(s, d), _pages(s, d)), _pages(s, d))
 
@@ -297,7 +310,8 @@ def region_filter(s, d):
 @query(f"WITH {PAN} SELECT paper_id, figure_id, match_id FROM pan QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY score DESC, y, x, match_id) = 1")
 def region_top1(s, d):
     """Each figure's best box."""
-    return B.best_region(_panels(s, d).withColumn("page_index", F.lit(1)), FIG, "score", ["match_id"]).select(*FIG, "match_id")
+    pages = _figures(s, d).select(*FIG, "page_index")
+    return B.best_region(_panels(s, d).join(pages, FIG, "left"), FIG, "score", ["match_id"]).select(*FIG, "match_id")
 
 
 @query(f"WITH {PAN} SELECT match_id, CAST(panel_index AS INTEGER) AS panel_index FROM pan")
@@ -358,10 +372,13 @@ def ocr_block(s, d):
 
 
 # --- Association ---
-_LAB = f"lab AS (SELECT paper_id, figure_id, pos AS panel_index, label FROM figs JOIN ({_explode_sql(RE['PANEL_LABEL'], 'caption_id', '(SELECT caption_id, caption AS text FROM figs)', 'label')}) USING (caption_id))"
-_MATCH = rf"""WITH {FIGS}, {PAN}, {TOK}, {_LAB},
- tx AS (SELECT paper_id, figure_id, text AS species, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY pos, taxon_id) - 1 AS panel_index FROM taxa WHERE text IS NOT NULL),
- lt AS (SELECT paper_id, figure_id, pos, token_id, trim(text, e' \t\n\r\x0b\x0c') AS label FROM tok WHERE regexp_full_match(trim(text, e' \t\n\r\x0b\x0c'), '[A-Z]|[0-9]{{1,2}}')),
+_FOUND_LABELS = _explode_sql(P.PANEL_LABEL, 'caption_id', '(SELECT caption_id, caption AS text FROM figs WHERE coalesce(len(panel_labels), 0) = 0)', 'label')
+_FOUND_TAXA = _explode_sql(P.TAXON_IN_CAPTION, 'caption_id', '(SELECT caption_id, caption AS text FROM figs)', 'species')
+_MATCH = rf"""WITH {FIGS}, {PAN}, {TOK},
+ lab AS (SELECT paper_id, figure_id, pos AS panel_index, label FROM figs JOIN ({_FOUND_LABELS}) USING (caption_id) UNION ALL SELECT paper_id, figure_id, CAST(i AS INTEGER), label FROM (SELECT paper_id, figure_id, unnest(panel_labels) AS label, unnest(range(len(panel_labels))) AS i FROM figs WHERE len(panel_labels) > 0)),
+ ltx AS (SELECT paper_id, figure_id, text AS species, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY pos, taxon_id) - 1 AS panel_index FROM taxa WHERE text IS NOT NULL),
+ tx AS (SELECT * FROM ltx UNION ALL SELECT paper_id, figure_id, species, pos FROM figs JOIN ({_FOUND_TAXA}) USING (caption_id) WHERE NOT EXISTS (SELECT 1 FROM ltx WHERE ltx.paper_id = figs.paper_id AND ltx.figure_id = figs.figure_id)),
+ lt AS {_TOKEN_LABELS},
  al AS (SELECT * FROM lab UNION ALL SELECT paper_id, figure_id, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY pos, token_id) - 1, label FROM lt WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.paper_id = lt.paper_id AND lab.figure_id = lt.figure_id)),
  ot AS (SELECT pan.paper_id, pan.figure_id, panel_index, string_agg(tok.text, ' ' ORDER BY pos, token_id) AS ocr_text FROM pan JOIN tok ON pan.paper_id = tok.paper_id AND pan.figure_id = tok.figure_id AND tok.bbox.x + tok.bbox.w * 0.5 BETWEEN x AND x + w AND tok.bbox.y + tok.bbox.h * 0.5 BETWEEN y AND y + h GROUP BY ALL),
  m AS (SELECT pan.paper_id, pan.figure_id, CAST(pan.panel_index AS INTEGER) AS panel_index, al.label AS panel_id, coalesce(tx.species, f0.species) AS species, al.label AS label_text, pan.x, pan.y, pan.w, pan.h, score, substring(caption, 1, 240) AS caption_snippet, nullif(ocr_text, '') AS ocr_text
@@ -372,31 +389,47 @@ _MATCH = rf"""WITH {FIGS}, {PAN}, {TOK}, {_LAB},
   WHERE NOT EXISTS (SELECT 1 FROM pan WHERE pan.paper_id = figs.paper_id AND pan.figure_id = figs.figure_id) AND (l.label IS NOT NULL OR t.species IS NOT NULL)"""
 
 
-def _matched(s, d):
+def matched(s, d):
+    """Panels matched: stored labels before found ones, recorded names before those of the caption."""
     figures = _figures(s, d)
-    labels = E.labels_of(figures, FIG, F.col("caption")).select(*FIG, F.col("pos").alias("panel_index"), "label")
+    labels = E.stored_or_found_labels(figures, FIG, F.col("panel_labels"), F.col("caption")).withColumnRenamed("pos", "panel_index")
     taxa = A.numbered(load(s, d, "taxa").where("text is not null").select(*FIG, "pos", "taxon_id", F.col("text").alias("species")), FIG, ["pos", "taxon_id"])
-    return A.match_panels(figures, _panels(s, d), labels, taxa, _tokens(s, d))
+    return A.match_panels(figures, _panels(s, d), labels, A.taxa_or_found(figures, taxa, F.col("caption")), _tokens(s, d))
 
 
 @query(_MATCH)
 def match_panels_heuristic(s, d):
     """Panels matched with labels, species and text by position: the flagship."""
-    return _matched(s, d).withColumn("confidence", F.round("confidence", 6))
+    return matched(s, d).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"WITH {PAN} SELECT match_id, round(w / 1400.0, 6) AS w_share, round((x + w * 0.5) / 1400.0, 6) AS cx, round(greatest(1.0, w * h) / 1960000.0, 6) AS area, panel_index / 100.0 AS at FROM pan")
+_TWELVE = "list_transform([{}], lambda v: round(CAST(v AS DOUBLE), 6))"
+_ROUNDED = lambda f: F.transform(f, lambda v: F.round(v, 6))
+
+
+@query(f"WITH {PAN} SELECT match_id, " + _TWELVE.format("x / 1400.0, y / 1400.0, w / 1400.0, h / 1400.0, (x + w * 0.5) / 1400.0, (y + h * 0.5) / 1400.0, greatest(1.0, w * h) / 1960000.0, panel_index / 100.0, score, 1.0, 0.0, 0.0") + " AS f FROM pan")
 def panel_feature_vectors(s, d):
-    """Parts of the twelve numbers that describe each panel."""
-    f = _panels(s, d).select("match_id", A.panel_features(F.lit(WIDTH), F.lit(HEIGHT)).alias("f"))
-    return f.select("match_id", F.round(F.col("f")[2], 6).alias("w_share"), F.round(F.col("f")[4], 6).alias("cx"), F.round(F.col("f")[6], 6).alias("area"), F.col("f")[7].alias("at"))
+    """The twelve numbers that describe each panel."""
+    return _panels(s, d).select("match_id", _ROUNDED(A.panel_features(F.lit(WIDTH), F.lit(HEIGHT))).alias("f"))
+
+
+@query(f"WITH {TOK}, lt AS (SELECT token_id, {stripped('text')} AS label, bbox, confidence, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY pos, token_id) - 1 AS i FROM tok WHERE regexp_full_match({stripped('text')}, '[A-Z]|{chr(92)}p{{Nd}}{{1,2}}')) SELECT token_id, "
+       + _TWELVE.format("bbox.x / 1400.0, bbox.y / 1400.0, bbox.w / 1400.0, bbox.h / 1400.0, (bbox.x + bbox.w * 0.5) / 1400.0, (bbox.y + bbox.h * 0.5) / 1400.0, greatest(1.0, bbox.w * bbox.h) / 1960000.0, i / 100.0, coalesce(confidence, 0.0), CASE WHEN regexp_full_match(label, '[A-Z]') THEN (ascii(label) - 64) / 26.0 ELSE least(1.0, TRY_CAST(label AS DOUBLE) / 20.0) END, 1.0, 0.0") + " AS f FROM lt WHERE bbox IS NOT NULL")
+def label_feature_vectors(s, d):
+    """The twelve numbers that describe each token that is a panel label."""
+    t = _tokens(s, d)
+    found = A.numbered(A.label_tokens(t), FIG, ["pos", "token_id"], "label_index").select("token_id", "text", "label_index")
+    rows = found.join(t.where("bbox is not null").select("token_id", "bbox", "confidence"), "token_id")
+    return rows.select("token_id", _ROUNDED(A.label_features(F.lit(WIDTH), F.lit(HEIGHT))).alias("f"))
 
 
-@query("SELECT match_id, length(split_part(species, ' ', 1)) / 30.0 AS genus, CASE WHEN regexp_matches(regexp_replace(species, '[^\\x00-\\x7F]', '_', 'g'), '(?i)\\b(sp\\.|spp\\.|cf\\.|aff\\.)\\b') THEN 1.0 ELSE 0.0 END AS qualified FROM match_results WHERE species IS NOT NULL")
+_QUALIFIED = f"regexp_matches({marked('species')}, '{sql_pattern(P.QUALIFIER)}')"
+
+
+@query(f"SELECT match_id, " + _TWELVE.format(rf"length(split_part(species, ' ', 1)) / 30.0, CASE WHEN {stripped('species')} = '' THEN 0 ELSE len(regexp_split_to_array({stripped('species')}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+')) END / 6.0, CASE WHEN {_QUALIFIED} THEN 1.0 ELSE 0.0 END, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0") + " AS f FROM match_results WHERE species IS NOT NULL")
 def species_feature_vectors(s, d):
-    """Parts of the twelve numbers that describe each name."""
-    f = load(s, d, "match_results").where("species is not null").select("match_id", A.species_features(F.col("species"), F.lit(0)).alias("f"), A.species_features(ascii_only(F.col("species")), F.lit(0)).alias("g"))
-    return f.select("match_id", F.col("f")[0].alias("genus"), F.col("g")[2].alias("qualified"))
+    """The twelve numbers that describe each name."""
+    return load(s, d, "match_results").where("species is not null").select("match_id", _ROUNDED(A.species_features(F.col("species"), F.lit(0))).alias("f"))
 
 
 @query("SELECT match_id, CASE WHEN regexp_full_match(panel_id, '[A-Z]') THEN (ascii(panel_id) - 64) / 26.0 WHEN regexp_full_match(panel_id, '[0-9]+') THEN least(1.0, TRY_CAST(panel_id AS DOUBLE) / 20.0) ELSE 0.0 END AS value FROM match_results")
@@ -597,9 +630,12 @@ def corrections_latest(s, d):
     return c.groupBy(*keys).agg(F.max(F.struct("submitted_at", "correction_id", "corrected_label", "corrected_species")).alias("m")).select(*keys, "m.corrected_label", "m.corrected_species")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN regexp_replace(printf('%.2f', n_chars::DOUBLE), '\\.?0+$', '') || ' Bytes' ELSE regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '\\.?0+$', '') || ' KB' END AS size FROM documents WHERE coalesce(n_chars, 0) < 1048576")
+_SIZED = "regexp_replace(printf('%.2f', round(n_chars / {}, 2)), '\\.?0+$', '') || ' {}'"
+
+
+@query(f"SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN {_SIZED.format('1.0', 'Bytes')} WHEN n_chars < 1048576 THEN {_SIZED.format('1024.0', 'KB')} WHEN n_chars < 1073741824 THEN {_SIZED.format('1048576.0', 'MB')} ELSE {_SIZED.format('1073741824.0', 'GB')} END AS size FROM documents")
 def file_sizes(s, d):
-    """Sizes for people, of all documents; the SQL has those below 1 MiB only."""
+    """Sizes for people, of all documents."""
     return load(s, d, "documents").select("doc_id", file_size(F.coalesce("n_chars", F.lit(0))).alias("size"))
 
 

@@ -1,159 +1,26 @@
-"""Queries on whole, unaltered texts with every fallback: no SQL, since DuckDB's patterns know ASCII only."""
+"""Earlier names of queries of reference_queries, which read whole, unaltered texts themselves now."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.functions import patterns as P
-from platewright.functions.text import all_matches
-from platewright.operators import association as A
-from platewright.operators import entities as E
-from platewright.operators import geology as G
-from platewright.operators import pages as PG
 from platewright.plans import reference_queries as Q
-from platewright.plans.reference_queries import FIG, _panels
-from platewright.sources.tables import load
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+_SAME = {
+    "match_panels_whole": "match_panels_heuristic", "species_seeds_whole": "species_seeds", "kg_nodes_whole": "kg_nodes", "kg_edges_whole": "kg_edges", "taxon_candidates_whole": "taxon_candidates",
+    "taxon_merge_best_whole": "taxon_merge_best", "panel_labels_whole": "panel_labels", "label_tokens_whole": "label_tokens", "caption_figure_number_whole": "caption_figure_number",
+    "geology_records_whole": "geology_records", "geology_dedup_whole": "geology_dedup", "ocr_text_by_panel_whole": "ocr_text_by_panel", "caption_page_lookup_whole": "caption_page_lookup",
+    "candidate_pages_whole": "neighbour_pages",
+}
+QUERIES: dict = {new: Q.QUERIES[old] for new, old in _SAME.items()}
+ORACLE: dict[str, str] = {new: Q.ORACLE[old] for new, old in _SAME.items()}
+_links = Q.paper_links
 
 
-def query(f):
-    """Registers a query under its function's name."""
-    QUERIES[f.__name__] = f
-    return f
-
-
-def _captions(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "captions").select("caption_id", "paper_id", "figure_id", "figure_number", "page_index", "panel_labels", F.coalesce("caption", F.lit("")).alias("text"))
-
-
-def _figures(s: SparkSession, d: str) -> DataFrame:
-    """One caption per figure: the one of the smallest id."""
-    first = F.min_by(F.struct("text", "panel_labels"), "caption_id").alias("_c")
-    return _captions(s, d).groupBy(*FIG).agg(first).select(*FIG, F.col("_c.text").alias("caption"), "_c.panel_labels")
-
-
-def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "ocr_tokens").select("token_id", *FIG, "pos", F.coalesce("text", F.lit("")).alias("text"), "confidence", "bbox")
-
-
-def _sections(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "geology").select("geology_id", "paper_id", "section_title", F.coalesce("evidence_text", F.lit("")).alias("text"))
-
-
-@query
-def match_panels_whole(s, d):
-    """Panels matched as in match_panels_heuristic, with stored labels first and names from the caption for figures without taxa."""
-    figures = _figures(s, d)
-    labels = E.stored_or_found_labels(figures, FIG, F.col("panel_labels"), F.col("caption")).withColumnRenamed("pos", "panel_index")
-    taxa = A.numbered(load(s, d, "taxa").where("text is not null").select(*FIG, "pos", "taxon_id", F.col("text").alias("species")), FIG, ["pos", "taxon_id"])
-    rows = A.match_panels(figures, _panels(s, d), labels, A.taxa_or_found(figures, taxa, F.col("caption")), _tokens(s, d))
-    return rows.withColumn("confidence", F.round("confidence", 6))
-
-
-@query
-def species_seeds_whole(s, d):
-    """The distinct names in the captions of each paper."""
-    return _captions(s, d).select("paper_id", F.explode(all_matches(F.col("text"), P.TAXON_CANDIDATE)).alias("species")).distinct()
-
-
-def _links(s, d):
-    """Links of the papers' caption names with their deduplicated rule records."""
-    sections = _sections(s, d)
-    order = ["geology_id", "age_pos"]
-    records = G.dedup_records(geology_records_whole(s, d), ["paper_id", "age", "formation", "locality", "section_title"], order)
-    return G.link_records(species_seeds_whole(s, d), sections, records, order)
-
-
-@query
 def species_geology_links_whole(s, d):
     """How often each caption name is linked to rule records of each kind of section."""
     return _links(s, d).groupBy("species", "section_title").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("paper_id").alias("papers"))
 
 
-def _graph(s, d):
-    """All links, and the names of papers that have sections but no record, as nodes alone."""
-    links = _links(s, d).select("species", "age", "formation", "locality", "confidence")
-    named = species_seeds_whole(s, d).join(load(s, d, "geology").select("paper_id").distinct(), "paper_id", "left_semi")
-    alone = named.select("species", *[F.lit(None).cast("string").alias(c) for c in ("age", "formation", "locality")], F.lit(None).cast("double").alias("confidence"))
-    return links, links.unionByName(alone)
-
-
-@query
-def kg_nodes_whole(s, d):
-    """Nodes of the graph of all links of caption names."""
-    return G.graph_nodes(_graph(s, d)[1])
-
-
-@query
-def kg_edges_whole(s, d):
-    """Edges of the graph of all links of caption names."""
-    return G.graph_edges(_graph(s, d)[0])
-
-
-# --- The operators of reference_queries on the texts as they are ---
-@query
-def taxon_candidates_whole(s, d):
-    """Names in captions by the caption pattern."""
-    return Q.taxon_candidates(s, d, _captions)
-
-
-@query
-def taxon_merge_best_whole(s, d):
-    """Names of two patterns united, of the same place and name the best scored."""
-    return Q.taxon_merge_best(s, d, _captions)
-
-
-@query
-def panel_labels_whole(s, d):
-    """Panel labels of captions in order."""
-    return Q.panel_labels(s, d, _captions)
-
-
-@query
-def label_tokens_whole(s, d):
-    """Recognised tokens that are panel labels."""
-    return Q.label_tokens(s, d, _tokens)
-
-
-@query
-def caption_figure_number_whole(s, d):
-    """Each caption's figure number."""
-    return Q.caption_figure_number(s, d, _captions)
-
-
-@query
-def geology_records_whole(s, d):
-    """Rule records of all sections."""
-    return Q._records(s, d, _sections)
-
-
-@query
-def geology_dedup_whole(s, d):
-    """Of records alike in age, formation, locality and title the first."""
-    cols = ["age", "formation", "locality", "section_title"]
-    return G.dedup_records(geology_records_whole(s, d), cols, ["geology_id", "age_pos"]).select("geology_id", "age_pos", *cols)
-
-
-@query
-def ocr_text_by_panel_whole(s, d):
-    """The recognised text inside each panel."""
-    return Q.ocr_text_by_panel(s, d, _tokens)
-
-
-def _pages(s, d):
-    return _captions(s, d).where("page_index is not null").select("paper_id", "page_index", "text")
-
-
-@query
-def caption_page_lookup_whole(s, d):
-    """The page that each figure number leads to."""
-    return PG.best_pages(_captions(s, d), _pages(s, d))
-
-
-@query
-def candidate_pages_whole(s, d):
-    """The chosen page and its neighbours."""
-    return PG.neighbours(caption_page_lookup_whole(s, d), _pages(s, d))
+QUERIES["species_geology_links_whole"] = species_geology_links_whole
+ORACLE["species_geology_links_whole"] = f"WITH {Q._LINKS} SELECT species, section_title, count(*) AS n_links, count(DISTINCT paper_id) AS papers FROM links GROUP BY ALL"
