@@ -67,46 +67,49 @@ def language(words: list[str]) -> str | None:
     return "en" if latin >= 0.9 * sum(map(len, words)) and words else None
 
 
-def measure(sentences: list[list[str]], familiar: frozenset[str]) -> tuple[int, float, float]:
-    """(words, share of unfamiliar words, mean sentence length)."""
-    n = sum(map(len, sentences))
-    strange = sum(len(w) > LONGEST_FAMILIAR or w.lower() not in familiar for s in sentences for w in s)
-    return n, strange / n, n / len(sentences)
-
-
 def score(strange: float, length: float) -> float:
     """The formula. Sentence length counts up to a bound that rises with the share
     of unfamiliar words: trivial clauses strung together are no harder to read."""
     return strange + PER_WORD * min(length, LENGTH_FLOOR + LENGTH_SLOPE * strange, LENGTH_MOST)
 
 
-def familiar_words(docs: DataFrame, text_col: str = "text", share: float = WIDESPREAD) -> dict[str, frozenset[str]]:
-    """Per language the words of at most ``LONGEST_FAMILIAR`` letters that are in at
-    least ``share`` of its documents, counted over the whole corpus.
+def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, detected, n_words, n_sentences, n_long, words, times) of every document: what its
+    level rests on. ``words`` are its distinct words, in lower case, of at most
+    ``LONGEST_FAMILIAR`` letters, ``times`` how often each occurs. The one pass over the texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["_id"], batch["_text"]):
+                sentences = running_sentences(text)
+                words = [w for s in sentences for w in s]
+                short = Counter(w.lower() for w in words if len(w) <= LONGEST_FAMILIAR)
+                out.append((doc, language(words), len(words), len(sentences), len(words) - sum(short.values()), list(short), list(short.values())))
+            yield pd.DataFrame(out, columns=["_id", "detected", "n_words", "n_sentences", "n_long", "words", "times"])
+
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"_id {kind}, detected string, n_words int, n_sentences int, n_long int, words array<string>, times array<int>")
+
+
+def familiar_words(documents: DataFrame, share: float = WIDESPREAD) -> dict[str, frozenset[str]]:
+    """Per language the short words that are in at least ``share`` of its documents, of
+    documents as :func:`parsed` gives them, counted in the JVM over the whole corpus.
 
     The lists come to the driver: together they can't exceed a language's mean
     number of distinct words a document divided by ``share`` (some thousands),
-    however large the corpus. Counts are combined per batch before the shuffle.
+    however large the corpus.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch["_text"]:
-                words = [w for s in running_sentences(text) for w in s]
-                lang = language(words)
-                if lang:
-                    seen.update((lang, w) for w in {w.lower() for w in words if len(w) <= LONGEST_FAMILIAR})
-                    seen[lang, ""] += 1
-            yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["lang", "word", "n"])
-
-    texts = docs.select(docs[text_col].alias("_text")).where("_text is not null")
-    counts = cut(texts.mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = counts.where("word = ''").select("lang", F.col("n").alias("docs"))
-    kept = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("docs") * share)  # totals: a row per language
+    known = documents.where("detected is not null")
+    totals = {r["detected"]: r["n"] for r in known.groupBy("detected").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    if not totals:
+        return {}
+    counts = known.select("detected", F.explode("words").alias("word")).groupBy("detected", "word").agg(F.count(F.lit(1)).alias("n"))
+    least = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, n * share)]), F.col("detected"))
     lists: dict[str, set[str]] = {}
-    for row in kept.select("lang", "word").toLocalIterator():
-        lists.setdefault(row["lang"], set()).add(row["word"])
+    for row in counts.where(F.col("n") >= least).select("detected", "word").toLocalIterator():
+        lists.setdefault(row["detected"], set()).add(row["word"])
     return {k: frozenset(v) for k, v in lists.items()}
 
 
@@ -117,28 +120,28 @@ def reading_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without ``LEAST_WORDS`` words in running sentences of English, German, French or
     Spanish - null, empty and blank texts, tables, references, other scripts - have
     n_words as counted and nulls for score and band. Texts are read whole, however
-    long; repeated rows are judged each; other columns aren't read. Two maps over
-    the scan, one shuffle of word counts.
+    long, and parsed once; repeated rows are judged each; other columns aren't read.
+    What was parsed is written to the checkpoint folder, since it is counted and then
+    judged by the counts; one shuffle of word counts.
     """
-    lists = docs.sparkSession.sparkContext.broadcast(familiar_words(docs, text_col))
+    documents = cut(parsed(docs, id_col, text_col))
+    lists = docs.sparkSession.sparkContext.broadcast(familiar_words(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
-                sentences = running_sentences(text)
-                lang = language([w for s in sentences for w in s])
-                n = sum(map(len, sentences))
+            for doc, lang, n, sentences, long, words, times in batch.itertuples(index=False, name=None):
                 if lang is None or n < LEAST_WORDS:
                     out.append((doc, lang, n, None, None, None, None))
                     continue
-                _, strange, length = measure(sentences, lists.value.get(lang, frozenset()))
+                familiar = lists.value.get(lang, frozenset())
+                strange = (long + sum(t for w, t in zip(words, times) if w not in familiar)) / n
+                length = n / sentences
                 x = score(strange, length)
                 out.append((doc, lang, n, strange, length, x, 1 + sum(x >= b for b in BANDS)))
             frame = pd.DataFrame(out, columns=["_id", "detected", "n_words", "strange_share", "sentence_length", "score", "band"])
             yield frame.astype({"band": "Int32"})
 
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind = documents.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, detected string, n_words int, strange_share double, sentence_length double, score double, band int"
-    return rows.mapInPandas(run, schema).withColumnRenamed("_id", id_col)
+    return documents.mapInPandas(run, schema).withColumnRenamed("_id", id_col)
