@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from platewright.llm.survivorship import by_order, discover
 from platewright.sources.tables import load
 
+#: Of the records of a section, which comes first.
+ORDER = [("trust", True), ("confidence", True), ("extracted_at", True)]
 FIELDS = ("age", "formation", "locality")
 KEYS = ("paper_id", "section_id")
 
@@ -19,21 +21,23 @@ def _geology(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """(group_id, field, winner_id): the record whose value survives."""
-    best = by_order(_geology(spark, d), KEYS, FIELDS, "geology_id", [("trust", True), ("confidence", True), ("extracted_at", True)])
+    best = by_order(_geology(spark, d), KEYS, FIELDS, "geology_id", ORDER)
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_id").alias("winner_id")) for f in FIELDS]))
     return best.where("n_rows >= 2").select("group_id", rows.alias("_r")).select("group_id", "_r.field", "_r.winner_id").where("winner_id is not null")
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """The surviving record of every section, each value with the record it came from."""
-    return by_order(_geology(spark, d), KEYS, FIELDS, "geology_id", [("trust", True), ("confidence", True), ("extracted_at", True)])
+    return by_order(_geology(spark, d), KEYS, FIELDS, "geology_id", ORDER)
 
 
 def p4_truth(spark: SparkSession, d: str) -> DataFrame:
     """Truth discovery over the same sections: value, support and supporting record."""
     geology = _geology(spark, d)
-    prior = load(spark, d, "extractors").groupBy("extractor").agg((F.max("trust") / F.lit(6.0)).alias("weight"))
-    return discover(geology, KEYS, FIELDS, "geology_id", "extractor", prior)[0]
+    # Odds that double from one level of trust to the next.
+    odds = F.pow(F.lit(2.0), F.max("trust"))
+    prior = load(spark, d, "extractors").groupBy("extractor").agg((odds / (odds + 1.0)).alias("weight"))
+    return discover(geology, KEYS, FIELDS, "geology_id", "extractor", prior, order=ORDER)[0]
 
 
 QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_truth": p4_truth}

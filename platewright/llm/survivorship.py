@@ -47,6 +47,19 @@ def _claims(df: DataFrame, keys: Sequence[str], fields: Sequence[str], id_col: s
     )
 
 
+def _ranks(df: DataFrame, order: Sequence[tuple[str, bool]]) -> list[Column]:
+    """Columns that are greatest, one after the other, for the record that ``order`` puts first; nulls come last."""
+    rank = []
+    for name, descending in order:
+        c = F.col(name)
+        kind = df.schema[name].dataType.typeName()
+        if kind not in ("byte", "short", "integer", "long", "float", "double", "decimal", "timestamp"):
+            raise ValueError(f"{name}: only numbers and timestamps can rank claims, not {kind}")
+        exact = F.unix_micros(c) if kind == "timestamp" else c
+        rank += [c.isNotNull().cast("int"), exact if descending else -exact]
+    return rank
+
+
 def by_order(df: DataFrame, keys: Sequence[str], fields: Sequence[str], id_col: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """The surviving claim of each group and field by a declared order.
 
@@ -58,17 +71,7 @@ def by_order(df: DataFrame, keys: Sequence[str], fields: Sequence[str], id_col:
     tie and the smaller id wins. An empty table gives an empty result. Columns
     not named are ignored, whatever they are called.
     """
-    rank = []
-    for name, descending in order:
-        c = F.col(name)
-        kind = df.schema[name].dataType.typeName()
-        number = c.cast("double") if kind in ("byte", "short", "integer", "long", "float", "double", "decimal") else F.unix_micros(c).cast("double") if kind == "timestamp" else None
-        if number is None:
-            raise ValueError(f"{name}: only numbers and timestamps can rank claims, not {kind}")
-        exact = F.unix_micros(c) if kind == "timestamp" else c
-        rank.append(c.isNotNull().cast("int"))
-        rank.append(exact if descending else -exact)
-    rank.append(-F.col(id_col))
+    rank = [*_ranks(df, order), -F.col(id_col)]
 
     def best(field: str) -> Column:
         claim = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.col(field).alias("value"), F.col(id_col).alias("id"))
@@ -87,6 +90,7 @@ def discover(
     prior: DataFrame | None = None,
     rounds: int = 8,
     tolerance: float = 1e-3,
+    order: Sequence[tuple[str, bool]] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Iterative truth discovery over the filled fields.
 
@@ -104,17 +108,21 @@ def discover(
     value, support, winner_id, n_sources, n_values``; sources has ``source_col,
     reliability, n_claims``. A source's repeats of one value in a group count
     once, so a copy adds nothing. Null sources are treated as one source of the
-    lowest starting weight. Ties: the value with the smallest id among its records.
+    lowest starting weight. Of the records that state the winning value the one that
+    ``order`` (see :func:`by_order`) ranks first stands for it, without one that of the
+    smallest id. Ties: the value whose record ranks first, then of the smallest id.
 
     Only sources' totals are compared on the driver (one number); claims are
     pre-aggregated to one row per group, field, value and source, so that a hot
     group shrinks before it is shuffled by group.
     """
     prior_claims = 10.0
+    # The greatest rank is the record that comes first.
+    rank = F.struct(*[r.alias(f"r{i}") for i, r in enumerate([*_ranks(df, order), -F.col(id_col)])], F.col(id_col).alias("id"))
     claims = (
-        _claims(df, keys, fields, id_col, [source_col])
+        _claims(df.withColumn("_rank", rank), keys, fields, id_col, [source_col, "_rank"])
         .groupBy(*keys, "field", "value", F.coalesce(F.col(source_col), F.lit("")).alias("_source"))
-        .agg(F.min(id_col).alias("_id"))
+        .agg(F.max("_rank").alias("_rank"))
     )
     claims = cut(claims.select(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys], F.col("field")).alias("_g"), "*"))
     start = F.lit(0.6)
@@ -139,12 +147,12 @@ def discover(
         if moved <= tolerance:
             break
     votes = _votes(claims, sources, per_group)
-    values = votes.groupBy(*per_group, "value").agg(F.sum("_share").alias("support"), F.min("_id").alias("winner_id"), F.count(F.lit(1)).alias("_n"))
-    top = F.struct(F.col("support"), (-F.col("winner_id")).alias("i"), F.col("value"), F.col("winner_id"))
+    values = votes.groupBy(*per_group, "value").agg(F.sum("_share").alias("support"), F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"))
+    top = F.struct(F.round("support", 9).alias("support"), F.col("_rank"), F.col("value"))
     winners = (
         values.groupBy(*per_group)
         .agg(F.max(top).alias("_top"), F.sum("_n").alias("n_sources"), F.count(F.lit(1)).alias("n_values"))
-        .select(*keys, "field", "_top.value", F.col("_top.support"), "_top.winner_id", "n_sources", "n_values")
+        .select(*keys, "field", "_top.value", F.col("_top.support"), F.col("_top._rank.id").alias("winner_id"), "n_sources", "n_values")
     )
     return winners, sources.select(F.nullif(F.col("_source"), F.lit("")).alias(source_col), "reliability", "n_claims")
 

@@ -34,13 +34,22 @@ _LOOKALIKES = {
 }
 # Hyphens that look like the plain one, and signs drawn like a full stop.
 _SIGNS = {"‐": "-", "‑": "-", "․": ".", "﹣": "-", "－": "-"}
-# Default-ignorable characters outside the general category Cf.
-_IGNORABLE = set("͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ") | {chr(c) for c in range(0xFE00, 0xFE10)}
+# The ranges of characters that Unicode calls default-ignorable.
+_IGNORABLE_RANGES = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+# Joiners, and scripts whose letters they shape.
+_JOINERS = "\u200c\u200d"
+_JOINED_SCRIPTS = {
+    "ARABIC", "SYRIAC", "MONGOLIAN", "NKO", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR", "TIBETAN",
+}
+_SHAPED = re.compile(f"(?<=[^\\x00-\\x7F])[{_JOINERS}](?=[^\\x00-\\x7F])")
 # Letters of one script that serve as symbols in words of another.
 _SYMBOL_LETTERS = set("μδµ")
 
 #: Anything but these may need attention; texts without it are as they should be.
-_ODD = re.compile(r"[^\x00-\x7F¡-¬®-ĲĴ-ľŁ-ňŊ-žƀ-ƒδμ–—“”‘’„‚«»…°′″×±≤≥≈→•†‡€™]")
+_ODD = re.compile(r"[^\x00-\x7F¡-¬®-ıĴ-ľŁ-ňŊ-žƀ-ƒδμ–—“”‘’„‚«»…°′″×±≤≥≈→•†‡€™]")
 
 _LOOKALIKE_SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
@@ -59,7 +68,7 @@ def _plain(ch: str) -> str:
     o = ord(ch)
     if o < 0x7F:
         return ch
-    if ch in _IGNORABLE or 0xE0100 <= o <= 0xE01EF or unicodedata.category(ch) == "Cf":
+    if any(a <= o <= b for a, b in _IGNORABLE_RANGES):
         return ""
     if ch in _SIGNS:
         return _SIGNS[ch]
@@ -115,14 +124,20 @@ def _to_script(ch: str, script: str) -> str:
 _REVERSE = {(_script(k), v): k for k, v in reversed(_LOOKALIKES.items()) if _script(k) != "LATIN"}
 
 
+def _kept_joiners(text: str) -> set[int]:
+    """Where a joiner stands between two letters or marks of a script that it shapes."""
+    return {m.start() for m in _SHAPED.finditer(text) if _script(text[m.start() - 1]) in _JOINED_SCRIPTS and _script(text[m.end()]) in _JOINED_SCRIPTS}
+
+
 @functools.lru_cache(maxsize=8192)
 def canonical(text: str) -> str:
     """The consistent form of one text; idempotent, and the text itself where
     nothing in it is out of the ordinary."""
     if text.isascii() or not _ODD.search(text):
         return text
-    plain = unicodedata.normalize("NFC", "".join(map(_plain, text)))
-    return _words(plain)
+    kept = _kept_joiners(text) if any(j in text for j in _JOINERS) else ()
+    plain = "".join(c if i in kept else _plain(c) for i, c in enumerate(text)) if kept else "".join(map(_plain, text))
+    return _words(unicodedata.normalize("NFC", plain))
 
 
 def comparable(text: str) -> str:
