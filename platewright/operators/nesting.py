@@ -2,8 +2,8 @@
 
 Every node of a JSON or XML document gets the ordinal path that leads to it from
 the root, e.g. ``2.1.3``. The parent's label is the child's without its last
-number, an ancestor's a prefix, document order the labels' order. Nodes of one
-schema path (``geology_links/sources``) form one table.
+number, an ancestor's a prefix, document order the order of the labels' numbers
+(column ordinals). Nodes of one schema path (``geology_links/sources``) form one table.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ def parent_label(dewey: Column) -> Column:
     return F.nullif(F.regexp_replace(dewey, r"(^|\.)\d+$", ""), F.lit(""))
 
 
+def ordinals(dewey: Column) -> Column:
+    """The numbers of a label: rows of a document sorted by them are in document order."""
+    return F.transform(F.split(dewey, r"\."), lambda x: x.cast("int"))
+
+
 def json_nodes(text: str | None, lists: Sequence[str]) -> list[tuple]:
     """Objects of a JSON text below its root, with Dewey labels.
 
@@ -120,8 +125,8 @@ def xml_nodes(text: str | None, root: str, names: Sequence[str]) -> list[tuple]:
 def flatten(docs: DataFrame, id_col: str, text_col: str, label: Callable[[str | None], list[tuple]]) -> DataFrame:
     """All nodes that ``label`` finds in the texts of ``docs``, one row each.
 
-    Result: row_id, dewey, parent (label, null at the top), schema_path, path,
-    depth, attributes, content. Null, empty and broken texts give no rows; repeated
+    Result: row_id, dewey, ordinals (the label's numbers), parent (label, null at the
+    top), schema_path, path, depth, attributes, content. Null, empty and broken texts give no rows; repeated
     rows give their nodes each; an empty table gives an empty result; other columns
     aren't read. A map over the scan without a shuffle: a document is parsed by one
     task, its nodes leave in bounded batches.
@@ -140,7 +145,7 @@ def flatten(docs: DataFrame, id_col: str, text_col: str, label: Callable[[str |
             yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select(docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("_text")).where("_text is not null")
-    return rows.mapInPandas(run, NODE).select("row_id", "dewey", parent_label(F.col("dewey")).alias("parent"), "schema_path", "path", "depth", "attributes", "content")
+    return rows.mapInPandas(run, NODE).select("row_id", "dewey", ordinals(F.col("dewey")).alias("ordinals"), parent_label(F.col("dewey")).alias("parent"), "schema_path", "path", "depth", "attributes", "content")
 
 
 def flatten_json(docs: DataFrame, id_col: str, text_col: str, lists: Sequence[str]) -> DataFrame:
@@ -168,7 +173,7 @@ def flatten_array(docs: DataFrame, id_col: str, array_col: str, name: str) -> Da
     rows = docs.select(docs[id_col].cast("bigint").alias("row_id"), F.posexplode(whole).alias("_k", "_e")).withColumn("_k", F.col("_k") + 1)
     filled = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     return rows.select(
-        "row_id", F.col("_k").cast("string").alias("dewey"), F.lit(None).cast("string").alias("parent"), F.lit(name).alias("schema_path"),
+        "row_id", F.col("_k").cast("string").alias("dewey"), F.array(F.col("_k").cast("int")).alias("ordinals"), F.lit(None).cast("string").alias("parent"), F.lit(name).alias("schema_path"),
         F.concat(F.lit(f"{name}:"), "_k").alias("path"), F.lit(1).alias("depth"), filled.alias("attributes"), F.lit(None).cast("string").alias("content"),
     )
 
@@ -176,3 +181,8 @@ def flatten_array(docs: DataFrame, id_col: str, array_col: str, name: str) -> Da
 def table_of(nodes: DataFrame, schema_path: str) -> DataFrame:
     """The flat table of one schema path, with the key of each row and of its parent."""
     return nodes.where(F.col("schema_path") == schema_path).drop("schema_path", "depth")
+
+
+def table_named(nodes: DataFrame, name: str) -> DataFrame:
+    """The flat table of all nodes called ``name``, whatever encloses them."""
+    return nodes.where(F.element_at(F.split("schema_path", "/"), -1) == name).drop("schema_path", "depth")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewright.functions.measures import NM_PER
-from platewright.operators.units import common_units, pixel_size_off
+from platewright.operators.units import common_units, pixel_size_off, unit_accuracy
 from platewright.sources.tables import load
 
 
@@ -19,9 +19,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """(scale_id, field, nm) of lengths to be converted and pixel sizes to be put right.
 
     Rows whose unit the classifier assigned are in ``p1_units`` as 'predicted'; here
-    only lengths count that value, unit and statement tell.
+    only lengths count that value, unit and statement tell, so that none is trained.
     """
-    rows = common_units(load(spark, d, "scales")).where("length_by in ('unit', 'text')")
+    rows = common_units(load(spark, d, "scales"), predict=False).where("length_by is not null")
     plain = F.coalesce((F.col("_unit") == "um") & F.col("_value").isNotNull(), F.lit(False))
     length = F.struct(F.lit("length").alias("field"), F.round(F.col("length_um") * 1e3).cast("bigint").alias("nm"))
     per_px = F.struct(F.lit("per_px").alias("field"), F.round(F.col("um_per_px") * 1e3).cast("bigint").alias("nm"))
@@ -30,7 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("scale_id", found.alias("_f")).select("scale_id", "_f.field", "_f.nm")
 
 
-QUERIES = {"p1_found": p1_found, "p1_units": p1_units}
+def p1_unit_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How right the classifier is of rows whose unit is hidden from it."""
+    return unit_accuracy(load(spark, d, "scales"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_units": p1_units, "p1_unit_accuracy": p1_unit_accuracy}
 
 # The same by other means: the statement's number and unit by one pattern after a word for a bar, number words by a generated table.
 _NUMBER = r"\d+\s*/\s*\d+|\d{1,3}(?:[ \x{A0}\x{202F}\x{2009}]\d{3})+|\d+(?:[.,]\d+)*"
