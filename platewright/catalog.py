@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from platewright.plans import p1_queries, p6_queries, reference_queries, whole_queries
+from platewright.plans import p1_queries, p6_queries, pipeline_queries, reference_queries, whole_queries
 
-_MODULES = (p1_queries, p6_queries, reference_queries, whole_queries)
+_MODULES = (p1_queries, p6_queries, reference_queries, pipeline_queries, whole_queries)
 
 
 def queries() -> dict:

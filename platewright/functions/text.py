@@ -34,6 +34,33 @@ def slug(text: Column) -> Column:
     return F.when(bare == "", F.lit("item")).otherwise(bare)
 
 
+def inside(root: Column, path: Column) -> Column:
+    """Whether ``path``, taken from the folder ``root``, leads to somewhere below it once '.' and '..' are followed."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(root, F.lit("/"), path))
+
+    def steps(p: Column) -> Column:
+        up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+        return F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda a, s: F.when(s.isin("", "."), a).when(s == "..", up(a)).otherwise(F.array_append(a, s)))
+
+    to, at = steps(whole), steps(root)
+    return F.slice(to, F.lit(1), F.greatest(F.size(at), F.lit(0))) == at
+
+
+def region_id(page: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A region's id: its page and its box."""
+    return F.format_string("p%03d_region_%d_%d_%d_%d", page, x, y, w, h)
+
+
+def auto_figure_id(page: Column, region: Column) -> Column:
+    """The id of a figure that no caption names: its page and its place among the page's regions, from 1."""
+    return F.format_string("auto_fig_p%03d_r%02d", page, region)
+
+
+def panel_file(paper: Column, figure: Column, panel: Column) -> Column:
+    """Where a panel's picture is kept; panels from 1."""
+    return F.concat(paper, F.lit("/"), figure, F.format_string("/panel_%02d.png", panel))
+
+
 def path_id(path: Column) -> Column:
     """Sixteen hexadecimal digits that identify a path."""
     return F.substring(F.sha1(F.encode(path, "UTF-8")), 1, 16)

@@ -51,7 +51,7 @@ def taxa_or_found(figures: DataFrame, taxa: DataFrame, text: Column) -> DataFram
     return taxa.select(*FIGURE, "panel_index", "species").unionByName(found)
 
 
-def match_panels(figures: DataFrame, panels: DataFrame, labels: DataFrame, taxa: DataFrame, tokens: DataFrame) -> DataFrame:
+def match_panels(figures: DataFrame, panels: DataFrame, labels: DataFrame, taxa: DataFrame, tokens: DataFrame, neural: DataFrame | None = None) -> DataFrame:
     """Panels matched with labels, species and recognised text, by position.
 
     ``figures``: (paper_id, figure_id, caption), one row each. ``panels``: their boxes with
@@ -60,7 +60,9 @@ def match_panels(figures: DataFrame, panels: DataFrame, labels: DataFrame, taxa:
     position (a figure without labels those of its label tokens), the species there,
     else the figure's first. The confidence is the panel's score with increments
     for what was found. A figure without panels gives one row of low confidence if
-    it has a label or a species.
+    it has a label or a species. ``neural`` (see :func:`neural_matches`) replaces labels and
+    species of the figures for which it found any; their confidence is the greater of
+    the panel's score and its own, without increments.
     """
     found = numbered(label_tokens(tokens), FIGURE, ("pos", "token_id")).select(*FIGURE, "panel_index", F.col("text").alias("label"))
     unlabelled = found.join(labels.select(*FIGURE).distinct(), list(FIGURE), "left_anti")
@@ -74,16 +76,25 @@ def match_panels(figures: DataFrame, panels: DataFrame, labels: DataFrame, taxa:
         .join(taxa.select(*keys, "species"), keys, "left")
         .join(first, list(FIGURE), "left")
         .join(text_in_panels(panels, tokens), keys, "left")
-        .join(known, [*FIGURE, "label"], "left")
         .withColumn("species", F.coalesce("species", "first_species"))
     )
+    used = F.lit(False)
+    if neural is not None:
+        some = neural.groupBy(*FIGURE).agg(F.max(F.col("label").isNotNull() | F.col("species").isNotNull()).alias("_used"))
+        told = neural.select(*keys, F.col("label").alias("_label"), F.col("species").alias("_species"), "neural_confidence").join(some, list(FIGURE))
+        used = F.coalesce("_used", F.lit(False))
+        rows = rows.join(told, keys, "left").withColumns({"label": F.when(used, F.col("_label")).otherwise(F.col("label")), "species": F.when(used, F.col("_species")).otherwise(F.col("species"))})
+    rows = rows.join(known, [*FIGURE, "label"], "left")
     plus = [(F.col("label") != "", P.PLUS_LABEL), (F.col("species") != "", P.PLUS_SPECIES), (F.col("ocr_text") != "", P.PLUS_OCR)]
     confidence = F.col("score")
     for what, by in plus:
         confidence = confidence + F.when(what, by).otherwise(0.0)
+    confidence = F.least(F.lit(P.CONF_MOST), confidence)
+    if neural is not None:
+        confidence = F.when(used, F.greatest("score", "neural_confidence")).otherwise(confidence)
     matched = rows.select(
         *FIGURE, "panel_index", F.col("label").alias("panel_id"), "species", F.coalesce("seen", "label").alias("label_text"), "x", "y", "w", "h",
-        F.least(F.lit(P.CONF_MOST), confidence).alias("confidence"), F.substring("caption", 1, P.SNIPPET).alias("caption_snippet"), F.nullif("ocr_text", F.lit("")).alias("ocr_text"),
+        confidence.alias("confidence"), F.substring("caption", 1, P.SNIPPET).alias("caption_snippet"), F.nullif("ocr_text", F.lit("")).alias("ocr_text"),
     )
     bare = figures.join(panels.select(*FIGURE).distinct(), list(FIGURE), "left_anti")
     lone = bare.join(labels.where("panel_index = 0").select(*FIGURE, "label"), list(FIGURE), "left").join(first, list(FIGURE), "left").where("label is not null or first_species is not null")
@@ -224,3 +235,57 @@ class TwoTower:
     def logits(self, panels: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Dot products of every panel with every item of a figure."""
         return self.encode(panels, self.left) @ self.encode(items, self.right).T
+
+    def match(self, panels: np.ndarray, labels: np.ndarray, species: np.ndarray, right_species: dict[str, np.ndarray] | None = None) -> tuple[list[int | None], list[int | None], list[float]]:
+        """Of a figure's panels the label and the species that each is assigned, and the mean of the
+        two greatest probabilities as its confidence. No label or no species counts as one of zeros."""
+
+        def softmax(z: np.ndarray) -> np.ndarray:
+            e = np.exp(z - z.max(-1, keepdims=True))
+            return e / e.sum(-1, keepdims=True)
+
+        left = self.encode(panels, self.left)
+        chances = []
+        for items, tower in ((labels, self.right), (species, right_species or self.right)):
+            chances.append(softmax(left @ self.encode(items if len(items) else np.zeros((1, panels.shape[1])), tower).T))
+        found = [optimal_assignment(c) if len(items) else [None] * len(panels) for c, items in zip(chances, (labels, species))]
+        return found[0], found[1], [float((a.max() + b.max()) * 0.5) for a, b in zip(*chances)]
+
+
+def neural_matches(panels: DataFrame, tokens: DataFrame, labels: DataFrame, taxa: DataFrame, tower: TwoTower, species_tower: dict[str, np.ndarray] | None, width: Column, height: Column) -> DataFrame:
+    """(*FIGURE, panel_index, label, species, neural_confidence): every panel matched by a trained two-tower scorer.
+
+    ``panels``, ``labels`` and ``taxa`` as for :func:`match_panels`. A figure without label
+    tokens is matched with its ``labels``, each a token of confidence 0.5 at the corner;
+    one without labels and names has nulls and the confidence 0. The features are made
+    in the JVM and gathered per figure, whose few panels one task scores and assigns.
+    """
+    listed = numbered(label_tokens(tokens), FIGURE, ("pos", "token_id"), "label_index").select(*FIGURE, "token_id", "label_index", "text")
+    read = listed.join(tokens.select("token_id", "bbox", "confidence"), "token_id")
+    corner = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    stated = labels.join(read.select(*FIGURE).distinct(), list(FIGURE), "left_anti").select(*FIGURE, F.col("panel_index").alias("label_index"), F.col("label").alias("text"), corner.alias("bbox"), F.lit(0.5).alias("confidence"))
+    both = read.select(*FIGURE, "label_index", "text", F.struct(*[F.col(f"bbox.{c}").alias(c) for c in "xywh"]).alias("bbox"), "confidence").unionByName(stated)
+
+    def gathered(items: DataFrame, at: str, text: Column, features: Column, as_: str) -> DataFrame:
+        return items.groupBy(*FIGURE).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), text.alias("t"), features.alias("f")))).alias(as_))
+
+    p = gathered(panels, "panel_index", F.lit(""), panel_features(width, height), "p")
+    t = gathered(both, "label_index", F.col("text"), label_features(width, height), "t")
+    n = gathered(taxa, "panel_index", F.col("species"), species_features(F.col("species"), F.col("panel_index")), "n")
+    rows = p.join(t, list(FIGURE), "left").join(n, list(FIGURE), "left")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for paper, figure, ps, ts, ns in batch[[*FIGURE, "p", "t", "n"]].itertuples(index=False):
+                ts, ns = [() if x is None else x for x in (ts, ns)]
+                a, b, c = (np.array([list(x["f"]) for x in items], dtype=float).reshape(-1, 12) for items in (ps, ts, ns))
+                if len(b) or len(c):
+                    found = tower.match(a, b, c, species_tower)
+                else:
+                    found = [None] * len(a), [None] * len(a), [0.0] * len(a)
+                for item, label, name, sure in zip(ps, *found):
+                    out.append((paper, figure, item["i"], None if label is None else ts[label]["t"].strip(), None if name is None else ns[name]["t"], sure))
+            yield pd.DataFrame(out, columns=[*FIGURE, "panel_index", "label", "species", "neural_confidence"]).astype({"panel_index": "Int32"})
+
+    return rows.mapInPandas(run, "paper_id string, figure_id string, panel_index int, label string, species string, neural_confidence double")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewright.functions import patterns as P
-from platewright.functions.text import all_matches, distinct_in_order
+from platewright.functions.text import all_matches, distinct_in_order, strip
 
 
 def extracted(docs: DataFrame, ids: Sequence[str], text: Column, pattern: str, score: float) -> DataFrame:
@@ -28,18 +29,25 @@ def stored_or_found_labels(docs: DataFrame, ids: Sequence[str], stored: Column,
     return docs.select(*ids, F.posexplode(labels).alias("pos", "label"))
 
 
-def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, name_col: str) -> DataFrame:
+def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, name_col: str, at_once: int = 1_000_000) -> DataFrame:
     """(``id_col``, name, start): the first occurrence of every listed name in every
     text, in any case, at any place.
 
     Names are searched all at once by an automaton in one pass over the texts, so
     the cost doesn't grow with the list, and no text is paired with a name that it
-    doesn't hold. The list is fixed reference data and broadcast; it is checked to
-    have at most a million names.
+    doesn't hold. The list is broadcast; one of more than ``at_once`` names is dealt
+    into parts by hash, each of which takes a pass of its own.
     """
-    names = [r[0] for r in lexicon.where(F.trim(name_col) != "").select(F.trim(name_col)).distinct().limit(1_000_001).collect()]
-    if len(names) > 1_000_000:
-        raise ValueError("lexicon: more names than one automaton should hold; split it by initial letter")
+    listed = lexicon.where(F.trim(name_col) != "").select(F.trim(name_col).alias("_name")).distinct()
+    parts = max(1, -(-listed.count() * 5 // (4 * at_once)))  # a fifth to spare, since a hash doesn't deal evenly
+    if parts > 1:
+        mine = [lexicon.where(F.pmod(F.xxhash64(F.trim(name_col)), F.lit(parts)) == k) for k in range(parts)]
+        return reduce(DataFrame.unionByName, [_lexicon_pass(docs, id_col, text_col, m.where(F.trim(name_col) != "").select(F.trim(name_col).alias("_name")).distinct()) for m in mine])
+    return _lexicon_pass(docs, id_col, text_col, listed)
+
+
+def _lexicon_pass(docs: DataFrame, id_col: str, text_col: str, listed: DataFrame) -> DataFrame:
+    names = [r[0] for r in listed.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,6 +75,18 @@ def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     return rows.mapInPandas(run, f"_id {kind}, name string, start int").withColumnRenamed("_id", id_col)
 
 
+def model_entities(rows: DataFrame, group: str = "label", text: str = "text") -> DataFrame:
+    """The entities of a model that are taxa: their group names a taxon, a species or an
+    organism; marks of word pieces are taken out of the text, empty texts left out."""
+    low, bare = F.lower(F.coalesce(group, F.lit("taxon"))), strip(F.replace(text, F.lit("##"), F.lit("")))
+    return rows.where(low.contains("tax") | low.contains("species") | low.contains("org")).withColumn(text, bare).where(F.col(text) != "").withColumn(group, F.lit("taxon"))
+
+
+def in_order(entities: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``entities`` with pos: their place in their text by start and end, then by text, from 0."""
+    return entities.withColumn("pos", F.row_number().over(Window.partitionBy(*ids).orderBy("start", "end", "text")) - 1)
+
+
 def merge_entities(entities: DataFrame, ids: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of entities with the same place and text (in any case) the best scored one,
     the first by ``order`` on a tie."""

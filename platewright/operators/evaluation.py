@@ -27,9 +27,12 @@ def greedy_iou_match(pred: DataFrame, gold: DataFrame, group: Sequence[str], thr
     best box that is left, if it overlaps enough.
 
     Boxes are (id, x, y, w, h); the first box wins a tie. A fold over a group's arrays
-    in the JVM; a group is a figure.
+    in the JVM; a group is a figure. Without columns to group by all boxes are one
+    group, as if they lay in one picture: one task's work, for small gold sets.
     """
     b = ("id", "x", "y", "w", "h")
+    if not group:
+        return greedy_iou_match(pred.withColumn("_all", F.lit(0)), gold.withColumn("_all", F.lit(0)), ["_all"], threshold).drop("_all")
     p = pred.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*b))).alias("p"))
     g = gold.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*b))).alias("g"))
     both = p.join(g, list(group), "full").withColumns({"p": F.coalesce("p", F.slice("g", F.lit(1), F.lit(0))), "g": F.coalesce("g", F.slice("p", F.lit(1), F.lit(0)))})
@@ -53,6 +56,21 @@ def summary(per_group: DataFrame) -> DataFrame:
     return t.select("tp", "fp", "fn", *[c.alias(k) for k, c in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()], ratio(F.col("s"), F.col("tp")).alias("mean_iou"))
 
 
+def evaluation(pred: DataFrame, gold: DataFrame, group: Sequence[str], pos: str, confidence: Column, threshold: float = P.EVAL_IOU) -> DataFrame:
+    """One row of all measures: precision, recall and F1 of figures and of panels (the same
+    boxes), mean IoU, how often labels (panel_id) agree position by position (``pos``),
+    the mean confidence of answers, and n_samples, the gold rows.
+
+    Boxes are (id, x, y, w, h); rows without a box count for the labels only.
+    """
+    boxed = [d.where("x is not null") for d in (pred, gold)]
+    s = summary(greedy_iou_match(*boxed, group, threshold)).drop("tp", "fp", "fn").withColumnsRenamed({k: f"figure_{k}" for k in ("precision", "recall", "f1")})
+    s = s.withColumns({f"panel_{k}": F.col(f"figure_{k}") for k in ("precision", "recall", "f1")})
+    accuracy = zip_accuracy(pred, gold, pos, "panel_id").select(F.col("accuracy").alias("match_accuracy"))
+    sure = pred.agg(F.coalesce(F.avg(confidence.try_cast("double")), F.lit(0.0)).alias("answer_confidence_mean"))
+    return s.join(accuracy).join(sure).join(gold.agg(F.count(F.lit(1)).alias("n_samples")))  # a row each
+
+
 def zip_accuracy(pred: DataFrame, gold: DataFrame, pos: str, label: str) -> DataFrame:
     """One row: the share of positions at which both sides agree, up to the shorter one's length."""
     p, g = pred.select(pos, F.col(label).alias("_p")), gold.select(pos, F.col(label).alias("_g"))

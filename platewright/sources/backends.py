@@ -7,7 +7,10 @@ before they are joined, so that a retried task doesn't ask again.
 
 from __future__ import annotations
 
+import base64
+import io
 import json
+import random
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,8 +52,6 @@ class GenerateEndpoint:
         self.url, self.model, self.seconds = url.rstrip("/"), model, seconds
 
     def answer(self, prompt: str, image: bytes | None = None) -> str:
-        import base64
-
         body = {"model": self.model, "prompt": prompt, "stream": False}
         if image is not None:
             body["images"] = [base64.b64encode(image).decode()]
@@ -64,15 +65,112 @@ class ChatEndpoint:
         self.url, self.seconds = url.rstrip("/"), seconds
 
     def answer(self, prompt: str, image: bytes | None = None) -> str:
+        shown = None if image is None else base64.b64encode(image).decode()
+        said = prompt if shown is None else [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{shown}"}}]
         try:
-            body = {"messages": [{"role": "user", "content": prompt}], "stream": False}
+            body = {"messages": [{"role": "user", "content": said}], "stream": False}
             reply = json.loads(_post(f"{self.url}/v1/chat/completions", json.dumps(body).encode(), "application/json", self.seconds))
             return reply["choices"][0]["message"]["content"]
         except (OSError, ValueError, KeyError, IndexError):
-            reply = json.loads(_post(f"{self.url}/completion", json.dumps({"prompt": prompt}).encode(), "application/json", self.seconds))
+            plain = {"prompt": prompt} if shown is None else {"prompt": f"[img-1]\n{prompt}", "image_data": [{"data": shown, "id": 1}]}
+            reply = json.loads(_post(f"{self.url}/completion", json.dumps(plain).encode(), "application/json", self.seconds))
             return reply["content"]
 
 
+class LocalModel:
+    """A model run in the worker by the transformers library, which has to be installed there."""
+
+    def __init__(self, model: str, most: int = 512):
+        from transformers import pipeline
+
+        self.run, self.most = pipeline("image-text-to-text", model=model), most
+
+    def answer(self, prompt: str, image: bytes | None = None) -> str:
+        content = [{"type": "text", "text": prompt}]
+        if image is not None:
+            from PIL import Image
+
+            content.insert(0, {"type": "image", "image": Image.open(io.BytesIO(image))})
+        said = self.run(text=[{"role": "user", "content": content}], max_new_tokens=self.most, return_full_text=False)[0]["generated_text"]
+        return said if isinstance(said, str) else said[-1]["content"]
+
+
+#: What makes a model, by the name of its kind.
+MODELS: dict[str, Callable[..., TextModel]] = {"generate": GenerateEndpoint, "chat": ChatEndpoint, "local": LocalModel}
+
+
+def text_model(kind: str, **options) -> Callable[[], TextModel]:
+    """What builds a model of a kind of ``MODELS`` in each worker; a kind that isn't known is an error here, not there."""
+    if kind not in MODELS:
+        raise ValueError(f"{kind}: no kind of model; there are {', '.join(sorted(MODELS))}")
+    return lambda: MODELS[kind](**options)
+
+
+def seeded(model: Callable[[], TextModel], seed: int = 42) -> Callable[[], TextModel]:
+    """``model`` with the worker's random numbers starting at ``seed``, those of torch too where it is installed."""
+
+    def build() -> TextModel:
+        import numpy as np
+
+        random.seed(seed)
+        np.random.seed(seed)
+        try:
+            import torch
+
+            torch.manual_seed(seed)
+        except ImportError:
+            pass
+        return model()
+
+    return build
+
+
+class TesseractRecogniser:
+    """Words by pytesseract, which has to be installed on the executors."""
+
+    def __init__(self, languages: str = "eng"):
+        import pytesseract
+        from PIL import Image
+
+        self.read, self.open, self.languages = pytesseract.image_to_data, Image.open, languages
+
+    def tokens(self, image: bytes) -> list[tuple[str, float, tuple[int, int, int, int]]]:
+        found = self.read(self.open(io.BytesIO(image)), lang=self.languages, output_type="dict")
+        boxes = zip(found["left"], found["top"], found["width"], found["height"])
+        return [(t.strip(), float(c) / 100, b) for t, c, b in zip(found["text"], found["conf"], boxes) if t.strip() and float(c) >= 0]
+
+
+class PaddleRecogniser:
+    """Lines by paddleocr, which has to be installed on the executors."""
+
+    def __init__(self, language: str = "en"):
+        from paddleocr import PaddleOCR
+
+        self.engine = PaddleOCR(lang=language)
+
+    def tokens(self, image: bytes) -> list[tuple[str, float, tuple[int, int, int, int]]]:
+        import numpy as np
+        from PIL import Image
+
+        out = []
+        for page in self.engine.ocr(np.asarray(Image.open(io.BytesIO(image)).convert("RGB"))) or []:
+            for corners, (text, confidence) in page or []:
+                xs, ys = [int(x) for x, _ in corners], [int(y) for _, y in corners]
+                if text.strip():
+                    out.append((text.strip(), float(confidence), (min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys))))
+        return out
+
+
+def best_recogniser() -> Recogniser:
+    """The first recogniser that is installed, else one that reads nothing."""
+    for kind in (PaddleRecogniser, TesseractRecogniser):
+        try:
+            return kind()
+        except ImportError:
+            continue
+    return NothingRecognised()
+
+
 class FulltextService:
     """Turns a PDF into structured full text over HTTP."""
 

@@ -80,3 +80,11 @@ def copy_assets(df: DataFrame, to: str, key: str = "panel_path") -> DataFrame:
             yield batch[columns]
 
     return df.mapInPandas(run, schema)
+
+
+def browser_columns(rows: DataFrame) -> DataFrame:
+    """The five columns of the browser's export under its header; written with quotes around all values."""
+    # The header of the export.
+    header = {"paper_id": "论文ID", "figure_id": "图版ID", "panel_id": "Panel标签", "species": "物种", "confidence": "置信度"}
+    empty = {"panel_id", "species"}
+    return rows.select(*[(F.coalesce(c, F.lit("")) if c in empty else F.col(c)).alias(name) for c, name in header.items()])

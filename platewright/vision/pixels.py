@@ -63,7 +63,12 @@ def close(mask: np.ndarray, size: int = 9, times: int = 2) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, pixels) of the 8-connected parts, in order of their first pixel.
+    """(x, y, w, h, pixels) of the 8-connected parts, in order of their first pixel."""
+    return [p[:5] for p in parts(mask)]
+
+
+def parts(mask: np.ndarray) -> list[tuple[int, int, int, int, int, float, float]]:
+    """(x, y, w, h, pixels, cx, cy) of the 8-connected parts, in order of their first pixel; cx and cy are the mean of their pixels.
 
     Runs of each row are joined with those that they touch in the row above.
     """
@@ -92,46 +97,53 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         above = here
     found: dict[int, list[int]] = {}
     for a, b, y, me in runs:
-        s = found.setdefault(root(me), [a, y, b, y + 1, 0])
-        s[0], s[2], s[3], s[4] = min(s[0], a), max(s[2], b), y + 1, s[4] + b - a
-    return [(x0, y0, x1 - x0, y1 - y0, n) for _, (x0, y0, x1, y1, n) in sorted(found.items())]
+        s = found.setdefault(root(me), [a, y, b, y + 1, 0, 0.0, 0.0])
+        n = b - a
+        s[0], s[2], s[3], s[4], s[5], s[6] = min(s[0], a), max(s[2], b), y + 1, s[4] + n, s[5] + n * (a + b - 1) / 2, s[6] + n * y
+    return [(x0, y0, x1 - x0, y1 - y0, n, sx / n, sy / n) for _, (x0, y0, x1, y1, n, sx, sy) in sorted(found.items())]
 
 
 def figure_regions(image: np.ndarray, least: int = P.REGION_AREA) -> list[tuple[Box, float, str]]:
     """(box, score, kind) of the figures of a page, by row and column; the page itself where there is none."""
     h, w = image.shape[:2]
-    parts = components(close(255 - binarise(blur(grey(image)))))
     low, high = P.REGION_ASPECT
-    found = [((x, y, bw, bh), min(0.99, n / (h * w)), "figure") for x, y, bw, bh, n in parts if least <= n <= h * w * P.REGION_SHARE and low <= bw / max(1, bh) <= high]
+    found = [((x, y, bw, bh), min(0.99, n / (h * w)), "figure") for x, y, bw, bh, n in components(close(255 - binarise(blur(grey(image))))) if least <= n <= h * w * P.REGION_SHARE and low <= bw / max(1, bh) <= high]
     found.sort(key=lambda r: (r[0][1], r[0][0]))
     return found or [((0, 0, w, h), P.SCORE_WHOLE_PAGE, "page")]
 
 
-def panels(image: np.ndarray) -> list[tuple[Box, float]]:
-    """(box, score) of the panels of a figure, in reading order."""
+def _bright_parts(image: np.ndarray) -> np.ndarray:
+    """An image in black and white, what there is less of in white."""
     binary = binarise(blur(grey(image)))
-    if binary.mean() > 127:
-        binary = 255 - binary
+    return 255 - binary if binary.mean() > 127 else binary
+
+
+def panels(image: np.ndarray) -> list[tuple[Box, float]]:
+    """(box, score) of the panels of a figure, in reading order; size and score are by a part's pixels, not its box."""
     total = image.shape[0] * image.shape[1]
-    found = [((x, y, w, h), min(1.0, w * h / total)) for x, y, w, h, _ in components(binary) if P.PANEL_AREA <= w * h <= total * P.PANEL_SHARE]
+    found = [((x, y, w, h), min(1.0, n / total)) for x, y, w, h, n in components(_bright_parts(image)) if P.PANEL_AREA <= n <= total * P.PANEL_SHARE]
     return sorted(found, key=lambda p: (p[0][1], p[0][0]))
 
 
 def grid_points(width: int, height: int, n: int = 6) -> list[tuple[float, float]]:
-    """The centres of an n x n grid over an image, row by row."""
-    return [((i + 0.5) * width / n, (j + 0.5) * height / n) for j in range(n) for i in range(n)]
+    """The inner crossings of a grid that divides an image into n + 1 rows and columns, row by row."""
+    return [(width * i / (n + 1), height * j / (n + 1)) for j in range(1, n + 1) for i in range(1, n + 1)]
 
 
 def prompts(image: np.ndarray, n: int = 6) -> tuple[list[tuple[float, float]], list[Box]]:
-    """Points and boxes to ask a segmentation model for: centres and boxes of the
-    image's parts, and a grid; near points left out, as many as the model takes."""
+    """Points and boxes to ask a segmentation model for: centres of mass and boxes of the
+    image's parts, and a grid. Points near a kept one and boxes in the same cells as one
+    are left out, then as many are taken as the model does."""
     h, w = image.shape[:2]
-    parts = [(x, y, bw, bh) for x, y, bw, bh, _ in components(255 - binarise(blur(grey(image)))) if 0.5 * P.PANEL_AREA <= bw * bh <= h * w * P.PANEL_SHARE]
+    large = [p for p in parts(_bright_parts(image)) if 0.5 * P.PANEL_AREA <= p[4] <= h * w * P.PANEL_SHARE]
     kept: list[tuple[float, float]] = []
-    for p in [(x + bw / 2, y + bh / 2) for x, y, bw, bh in parts] + grid_points(w, h, n):
+    for p in [(cx, cy) for *_, cx, cy in large] + grid_points(w, h, max(2, n)):
         if all((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 > P.POINT_GAP**2 for q in kept):
             kept.append(p)
-    return kept[: P.PROMPT_POINTS], parts[: P.PROMPT_BOXES]
+    boxes: dict[tuple[int, ...], Box] = {}
+    for x, y, bw, bh, *_ in large:
+        boxes.setdefault(tuple(v // P.GRID_CELL for v in (x, y, x + bw, y + bh)), (x, y, bw, bh))
+    return kept[: P.PROMPT_POINTS], list(boxes.values())[: P.PROMPT_BOXES]
 
 
 def mask_boxes(masks: list[np.ndarray], scores: list[float], least_score: float = 0.8) -> list[tuple[Box, float]]:
