@@ -117,7 +117,7 @@ def entities_in_order(texts: DataFrame, ids: Sequence[str], text: str, lexicon:
     zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
-        start = F.locate(m, F.col("_t"), acc["at"])
+        start = F.call_function("locate", m, F.col("_t"), acc["at"])
         return F.struct((start + F.length(m)).alias("at"), F.array_append(acc["out"], F.struct((start - 1).alias("start"), m.alias("text"))).alias("out"))
 
     placed = found.select(*ids, F.explode(F.aggregate("_m", zero, step)["out"]).alias("e")).select(*ids, "e.start", "e.text", F.lit(P.SCORE_RULE).alias("score"))

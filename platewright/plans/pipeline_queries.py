@@ -123,13 +123,12 @@ def run_summary(s, d):
 
 @query()
 def pipeline_uncaptioned(s, d):
-    """The matches of papers of which no parse succeeded; two figures' boxes make up a page."""
-    parsed = load(s, d, "grobid_results").where("success").select("paper_id").distinct()
-    boxes = Q._panels(s, d).join(parsed, "paper_id", "left_anti").withColumnRenamed("figure_id", "region")
+    """The matches that all papers would have without captions, which every paper of the tables has; two figures' boxes make up a page."""
+    boxes = Q._panels(s, d).withColumnRenamed("figure_id", "region")
     least, most = F.min("x"), F.min("y")
     regions = boxes.groupBy("paper_id", "region").agg(least.alias("x"), most.alias("y"), (F.max(F.col("x") + F.col("w")) - least).alias("w"), (F.max(F.col("y") + F.col("h")) - most).alias("h"))
     regions = regions.withColumn("page_index", F.ceil(F.dense_rank().over(Window.partitionBy("paper_id").orderBy("region")) / 2).cast("int"))
-    tokens = Q._tokens(s, d).join(parsed, "paper_id", "left_anti").withColumnRenamed("figure_id", "region")
+    tokens = Q._tokens(s, d).withColumnRenamed("figure_id", "region")
     rows = L.match_uncaptioned(regions, boxes.select("paper_id", "region", "panel_index", "x", "y", "w", "h", "score"), tokens, load(s, d, "species_list"), "canonical_name")
     return rows.withColumn("confidence", F.round("confidence", 6))
 

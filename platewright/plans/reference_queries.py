@@ -271,9 +271,9 @@ def kg_edges(s, d):
 
 # --- Pages ---
 # A number in a marked text: marks where words begin and end inside it, one behind it.
-_IN_TEXT = rf"regexp_replace(regexp_replace(regexp_escape(fn.figure_number), '([\p{{L}}\p{{N}}_])(\\?[^\p{{L}}\p{{N}}_\\])', '\1{chr(0xE000)}\2', 'g'), '([^\p{{L}}\p{{N}}_\\])([\p{{L}}\p{{N}}_])', '\1{chr(0xE000)}\2', 'g')"
+_IN_TEXT = rf"regexp_replace(regexp_replace(regexp_escape(fn.figure_number), '([\p{{L}}\p{{N}}_])(\\?[^\p{{L}}\p{{N}}_\\])', '\1{2 * chr(0xE000)}\2', 'g'), '([^\p{{L}}\p{{N}}_\\])([\p{{L}}\p{{N}}_])', '\1{2 * chr(0xE000)}\2', 'g')"
 _PAGES = f"""{CAP}, pages AS (SELECT caption_id, paper_id, page_index, {marked("text")} AS text FROM cap WHERE page_index IS NOT NULL), fn AS (SELECT DISTINCT paper_id, figure_number FROM captions WHERE figure_number IS NOT NULL),
- hits AS (SELECT DISTINCT fn.paper_id, fn.figure_number, page_index FROM fn JOIN pages USING (paper_id) WHERE figure_number <> '' AND regexp_matches(text, '{sql_pattern(P.FIGURE_REFERENCE)}{chr(0xE000)}?' || {_IN_TEXT} || '{chr(0xE000)}')),
+ hits AS (SELECT DISTINCT fn.paper_id, fn.figure_number, page_index FROM fn JOIN pages USING (paper_id) WHERE figure_number <> '' AND regexp_matches(text, '{sql_pattern(P.FIGURE_REFERENCE)}{chr(0xE000)}*' || {_IN_TEXT} || '{chr(0xE000)}')),
  best AS (SELECT fn.paper_id, fn.figure_number, coalesce(min(hits.page_index), f.first) AS page_index FROM fn JOIN (SELECT paper_id, min(page_index) AS first FROM pages GROUP BY ALL) f ON fn.paper_id = f.paper_id LEFT JOIN hits ON hits.paper_id = fn.paper_id AND hits.figure_number = fn.figure_number GROUP BY fn.paper_id, fn.figure_number, f.first)"""
 
 

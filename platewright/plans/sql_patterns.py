@@ -1,7 +1,8 @@
 r"""The patterns in the words of DuckDB, whose own word edges and white space are ASCII.
 
-A mark is put around every run of letters, digits and underscores of a text, so that
-\b is the mark and any other piece of a pattern may have one before it. Found texts
+Two marks are put before and behind every run of letters, digits and underscores of a
+text, so that \b is a mark and any other piece of a pattern may have some before it.
+There are two since one match may end at the edge where the next begins. Found texts
 lose their marks again.
 """
 
@@ -39,7 +40,7 @@ def sql_pattern(pattern: str, marked: bool = True) -> str:
             for short, long in ((r"\w", _WORD), (r"\s", _SPACE), (r"\d", _DIGIT)):
                 piece = piece.replace(short, long if inside else f"[{long}]")
             times = _QUANTIFIER.match(pattern, at)
-            one = f"{MARK}?{piece}" if marked else piece
+            one = f"{MARK}*{piece}" if marked else piece
             out.append(f"(?:{one})" if times and marked else one)
             if times:
                 out.append(times.group())
@@ -54,7 +55,7 @@ def sql_pattern(pattern: str, marked: bool = True) -> str:
 
 def marked(text: str) -> str:
     """``text`` with marks around its words."""
-    return rf"regexp_replace(coalesce({text}, ''), '([{_WORD}]+)', '{chr(0xE000)}\1{chr(0xE000)}', 'g')"
+    return rf"regexp_replace(coalesce({text}, ''), '([{_WORD}]+)', '{2 * chr(0xE000)}\1{2 * chr(0xE000)}', 'g')"
 
 
 def stripped(text: str) -> str:

@@ -111,3 +111,48 @@ def test_match_confidence(spark):
     got = {(r.figure_id, r.panel_index): r for r in match_panels(fig, panels, labels, taxa, tokens).collect()}
     assert got["f", 0].confidence == 0.99 and abs(got["f", 1].confidence - 0.52) < 1e-9 and got["f", 1].species == "Aus bus"
     assert got["g", None].confidence == 0.35 and got["g", None].species == "Cus dus"
+
+
+def test_panels_and_prompts_by_pixels():
+    """A frame of few pixels with a large box is no panel; a full square is; prompts begin with centres of mass."""
+    from platewright.vision import pixels
+
+    image = np.full((400, 400), 255, dtype=np.uint8)
+    image[20:120, 20:120] = 0
+    image[200:390, 200:203] = 0
+    image[200:203, 200:390] = 0
+    image = np.repeat(image[..., None], 3, axis=2)
+    found = pixels.panels(image)
+    assert len(found) == 1 and abs(found[0][0][0] - 20) <= 3 and abs(found[0][1] - 100 * 100 / 160_000) < 0.01
+    points, boxes = pixels.prompts(image, 3)
+    assert len(boxes) == 1 and abs(points[0][0] - 69.5) < 1.5 and points[1:] == [(100.0 * i, 100.0 * j) for j in (1, 2, 3) for i in (1, 2, 3)]
+    assert [p[5:] for p in pixels.parts(np.array([[1, 1, 0], [0, 1, 0], [0, 1, 0]]))] == [(0.75, 0.75)]
+
+
+def test_boxes_of_all_figures_as_one_group(spark):
+    """As if all boxes lay in one picture: a gold box may take another figure's box."""
+    boxes = "f string, id long, x int, y int, w int, h int"
+    pred = spark.createDataFrame([("a", 1, 0, 0, 10, 10), ("b", 2, 0, 0, 10, 9)], boxes)
+    gold = spark.createDataFrame([("b", 7, 0, 0, 10, 10)], boxes)
+    assert [(r.n_pred, r.n_gold, r.matched, r.iou_sum) for r in greedy_iou_match(pred, gold, []).collect()] == [(2, 1, 1, 1.0)]
+    assert {r.f: r.iou_sum for r in greedy_iou_match(pred, gold, ["f"]).collect()} == {"a": 0.0, "b": 0.9}
+
+
+def test_pictures_reach_a_chat_model(monkeypatch):
+    import base64
+    import json
+
+    from platewright.sources import backends
+
+    sent = []
+    monkeypatch.setattr(backends, "_post", lambda url, body, kind, seconds: sent.append((url, json.loads(body))) or json.dumps({"choices": [{"message": {"content": "ok"}}]}).encode())
+    model = backends.text_model("chat", url="http://x/")()
+    assert model.answer("q", b"png") == "ok" and model.answer("q") == "ok"
+    shown = sent[0][1]["messages"][0]["content"]
+    assert shown[1]["image_url"]["url"].endswith(base64.b64encode(b"png").decode()) and sent[1][1]["messages"][0]["content"] == "q"
+    try:
+        backends.text_model("nothing")
+        raise AssertionError
+    except ValueError as e:
+        assert "nothing" in str(e)
+    assert backends.seeded(backends.NothingRecognised)().tokens(b"") == [] and backends.best_recogniser().tokens(b"") == []
