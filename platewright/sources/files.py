@@ -27,6 +27,11 @@ def watch_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(path_id(F.col("path")).alias("paper_id"), "path", "length", "content")
 
 
+def with_job_ids(uploads: DataFrame) -> DataFrame:
+    """``uploads`` with job_id: a random id for each, another on every reading. Write them once before anything refers to them."""
+    return uploads.withColumn("job_id", F.expr("uuid()"))
+
+
 def is_pdf(name):
     """Whether an uploaded file's name is that of a PDF."""
     return F.lower(name).endswith(".pdf")
@@ -39,6 +44,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, missing
     return spark.read.schema(schema).json(path)
 
 
+#: One figure of the matcher's training set: features of panels, labels and names, and which of them belong together.
+MATCHER_TRAINING = (
+    "panel_features array<array<double>>, label_features array<array<double>>, species_features array<array<double>>, target_panel_label array<int>, target_panel_species array<int>"
+)
+
+
+def read_matcher_training(spark: SparkSession, path: str) -> DataFrame:
+    """The matcher's training set, a figure a line; fields that a line lacks are null."""
+    return read_jsonl(spark, path, MATCHER_TRAINING)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A file that holds one JSON array."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

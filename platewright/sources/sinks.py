@@ -44,6 +44,44 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, sort_columns: b
     shaped.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", quote_all).csv(path)
 
 
+def write_csv_rows(rows: list[dict], path: str) -> None:
+    """A small CSV file of rows under the keys of the first; a row with another key is an error, no rows an empty file."""
+    import csv
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        if rows:
+            writer = csv.DictWriter(f, fieldnames=list(rows[0]))
+            writer.writeheader()
+            writer.writerows(rows)
+
+
+def write_pictures(pictures: DataFrame, folder: str, name: str = "panel_file", data: str = "png") -> DataFrame:
+    """(name, bytes): pictures written below ``folder``, which all executors share, under their names.
+
+    A retried task writes the same file again. Rows without a picture are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for to, content in zip(batch["_n"], batch["_d"]):
+                path = os.path.join(folder, to)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.part", "wb") as f:
+                    f.write(content)
+                os.replace(f"{path}.part", path)
+            yield pd.DataFrame({"name": batch["_n"], "bytes": [len(x) for x in batch["_d"]]})
+
+    rows = pictures.select(F.col(name).alias("_n"), F.col(data).alias("_d")).where("_n is not null and _d is not null")
+    return rows.mapInPandas(run, "name string, bytes bigint")
+
+
+def panels_of_figures(panels: DataFrame, by: str = "path") -> DataFrame:
+    """(``by``, panels): one record per figure with its panels nested in order, as the file of panels has it."""
+    one = F.struct("panel_index", F.array("x", "y", "w", "h").alias("bbox"), "score")
+    return panels.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("panels"))
+
+
 def write_manifests(df: DataFrame, path: str, by: str = "paper_id") -> None:
     """JSON lines in a folder per paper, so that later reads prune by paper."""
     df.write.mode("overwrite").partitionBy(by).json(path)

@@ -33,10 +33,11 @@ def _text(e) -> str:
     return " ".join(t.strip() for t in e.itertext() if t.strip())
 
 
-def _figures(text: str | None, use_xml_id: bool) -> Iterator[tuple]:
+def _figures(text: str | None, use_xml_id: bool, description_first: bool = False) -> Iterator[tuple]:
     root = _tree(text)
+    tags = ("figDesc", "head", "note") if description_first else ("head", "figDesc", "note", "label")
     for k, fig in enumerate(root.iter("figure") if root is not None else (), 1):
-        parts = [_text(p) for p in (fig.find(t) for t in ("head", "figDesc", "note", "label")) if p is not None]
+        parts = [_text(p) for p in (fig.find(t) for t in tags) if p is not None]
         caption = " ".join(x for x in parts if x) or _text(fig)
         name = (fig.get(_XML_ID) if use_xml_id else None) or fig.get("id") or f"fig{k}"
         yield k, name, fig.get("n"), caption
@@ -63,13 +64,14 @@ def _parsed(docs: DataFrame, id_col: str, xml_col: str, parse, schema: str, name
     return docs.mapInPandas(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col)
 
 
-def captions_of(docs: DataFrame, id_col: str, xml_col: str, use_xml_id: bool = False) -> DataFrame:
+def captions_of(docs: DataFrame, id_col: str, xml_col: str, use_xml_id: bool = False, description_first: bool = False) -> DataFrame:
     """(id, ord, figure_id, caption, figure_number, panel_labels, taxa) of every figure.
 
-    A figure without an ``id`` is called by its place; ``use_xml_id`` takes xml:id first.
+    A figure without an ``id`` is called by its place; ``use_xml_id`` takes xml:id first,
+    ``description_first`` the description before the heading, without the label.
     Null, blank and broken texts give nothing. Parsed where the text lies, no shuffle.
     """
-    rows = _parsed(docs, id_col, xml_col, lambda t: _figures(t, use_xml_id), "ord int, figure_id string, n string, caption string", ["ord", "figure_id", "n", "caption"])
+    rows = _parsed(docs, id_col, xml_col, lambda t: _figures(t, use_xml_id, description_first), "ord int, figure_id string, n string, caption string", ["ord", "figure_id", "n", "caption"])
     c = F.col("caption")
     return rows.select(
         id_col, "ord", "figure_id", "caption", figure_number(F.col("n"), c, F.col("figure_id")).alias("figure_number"),

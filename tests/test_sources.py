@@ -119,3 +119,38 @@ def test_job_stream(spark, tmp_path):
     query = job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r.status for r in spark.table("job_states").collect()][-1] == "done"
+
+
+def test_description_first(spark):
+    from platewright.sources.tei import captions_of
+
+    xml = "<TEI><text><body><figure><label>9</label><head>Fig. 1</head><figDesc>(A) Foo barum</figDesc><note>n</note></figure></body></text></TEI>"
+    df = spark.createDataFrame([(1, xml)], "i long, x string")
+    assert captions_of(df, "i", "x").first().caption == "Fig. 1 (A) Foo barum n 9"
+    assert captions_of(df, "i", "x", description_first=True).first().caption == "(A) Foo barum Fig. 1 n"
+
+
+def test_small_csv_training_set_and_pictures(spark, tmp_path):
+    import pytest
+
+    from platewright.sources.files import read_matcher_training, with_job_ids
+    from platewright.sources.sinks import browser_columns, panels_of_figures, write_csv_rows, write_pictures
+
+    write_csv_rows([{"b": 1, "a": "x,y"}, {"b": 2}], f"{tmp_path}/s/r.csv")
+    assert open(f"{tmp_path}/s/r.csv", newline="").read() == 'b,a\r\n1,"x,y"\r\n2,\r\n'
+    write_csv_rows([], f"{tmp_path}/e.csv")
+    assert open(f"{tmp_path}/e.csv").read() == ""
+    with pytest.raises(ValueError):
+        write_csv_rows([{"a": 1}, {"b": 2}], f"{tmp_path}/x.csv")
+    with open(f"{tmp_path}/t.jsonl", "w") as f:
+        f.write('{"panel_features": [[1, 2]], "target_panel_label": [0], "more": 1}\n\n')
+    row = read_matcher_training(spark, f"{tmp_path}/t.jsonl").first()
+    assert row.panel_features == [[1.0, 2.0]] and row.target_panel_label == [0] and row.species_features is None
+    assert len({r.job_id for r in with_job_ids(spark.range(3)).collect()}) == 3
+    pictures = spark.createDataFrame([("p/f/panel_01.png", b"abc"), ("p/f/panel_02.png", None), (None, b"x")], "panel_file string, png binary")
+    assert [tuple(r) for r in write_pictures(pictures, f"{tmp_path}/panels").collect()] == [("p/f/panel_01.png", 3)]
+    assert open(f"{tmp_path}/panels/p/f/panel_01.png", "rb").read() == b"abc"
+    boxes = spark.createDataFrame([("f", 1, 5, 6, 7, 8, 0.5), ("f", 0, 1, 2, 3, 4, 0.9)], "path string, panel_index int, x int, y int, w int, h int, score double")
+    assert [p.bbox for p in panels_of_figures(boxes).first().panels] == [[1, 2, 3, 4], [5, 6, 7, 8]]
+    rows = spark.createDataFrame([("p", "f", None, None, 0.5, "extra")], "paper_id string, figure_id string, panel_id string, species string, confidence double, more string")
+    assert browser_columns(rows).columns[0] == "论文ID" and tuple(browser_columns(rows).first()) == ("p", "f", "", "", 0.5)
