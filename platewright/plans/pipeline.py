@@ -17,6 +17,7 @@ from platewright.operators import association as A
 from platewright.operators import entities as E
 from platewright.operators import geology as G
 from platewright.operators import pages as PG
+from platewright.plans.lineage import cut
 
 FIG = list(A.FIGURE)
 
@@ -89,11 +90,13 @@ def match_papers(figures: DataFrame, pages: DataFrame, regions: DataFrame, panel
     value, unit, source); species and links as of :func:`ordered_links`. Figures without
     a page give nothing, figures without panels their region as one.
     """
-    chosen = chosen_regions(figures, pages, regions)
+    # A row per figure that four joins need: written once instead of planned four times.
+    chosen = cut(chosen_regions(figures, pages, regions))
     placed = figures.join(chosen.select(*FIG), FIG, "left_semi")
     panels = with_whole_regions(panels.join(chosen.select(*FIG), FIG, "left_semi"), chosen)
     rows = A.match_panels(placed, panels, labels, taxa, tokens).where("panel_index is not null").join(chosen, FIG)
     rows = rows.join(scales.select(*FIG, F.col("value").alias("scale_value"), F.col("unit").alias("scale_unit")), FIG, "left")
+    links = cut(links)
     filed = rows.withColumn("panel_file", panel_file(F.col("paper_id"), F.col("figure_id"), F.col("panel_index") + 1))
     return linked_matches(filed, species, links)
 
