@@ -10,6 +10,7 @@ slips of the pen or the scanner explain.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -34,6 +35,8 @@ _NO_AUTHOR = re.compile(r"^[\s\"'“”‘’«»\[\](){}.,;:*†!]+|[\s\"'“
 # Shapes that scanners confuse, as what both sides are folded to before they are compared.
 _GLYPHS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("0", "o"), ("1", "l"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("|", "l"), ("!", "l"))
 
+#: No word may have more slips than this (see ``is_slip``).
+_MOST = 4
 _PARSED = StructType([StructField("genus", StringType()), StructField("epithet", StringType())])
 
 
@@ -211,15 +214,28 @@ class NameIndex:
 
     def __init__(self, entries: list[tuple[str, str, str, int]], rarity: dict[str, int], t: float):
         self.t, self.rarity, self.entries = t, rarity, {}
-        self.postings: dict[str, list[tuple[str, int, int]]] = {}
-        self.sets: dict[str, frozenset[str]] = {}
+        #: Per token the keys that have it in their prefix, by number, with their size and its place.
+        self.postings: dict[str, list[tuple[int, int, int]]] = {}
+        #: Token sets as bits: what two sets share is counted at once.
+        self.bits: dict[str, int] = {}
+        self.sets: list[tuple[str, int, int]] = []
         for key, genus, epithet, name_id in entries:
             self.entries.setdefault(key, []).append((genus, epithet, name_id))
-        for key in self.entries:
+        for number, key in enumerate(self.entries):
             toks = self.order(trigrams(key))
-            self.sets[key] = frozenset(toks)
+            self.sets.append((key, self.as_bits(toks, True), len(toks)))
             for at, tok in enumerate(toks[: self.prefix(len(toks))]):
-                self.postings.setdefault(tok, []).append((key, len(toks), at))
+                self.postings.setdefault(tok, []).append((number, len(toks), at))
+
+    def as_bits(self, toks: list[str], new: bool = False) -> int:
+        """A set of tokens as bits; those that no entry has are left out."""
+        if new:
+            for x in toks:
+                self.bits.setdefault(x, 1 << len(self.bits))
+        found = 0
+        for x in toks:
+            found |= self.bits.get(x, 0)
+        return found
 
     def order(self, toks: list[str]) -> list[str]:
         """Tokens by global rarity; those that no entry has come first."""
@@ -234,24 +250,31 @@ class NameIndex:
         length and positions filtered, the rest verified exactly."""
         toks, t = self.order(trigrams(key)), self.t
         n, share = len(toks), t / (1 + t)
-        met: dict[str, bool] = {}
+        met: set[int] = set()
+        possible: list[int] = []
         for at, tok in enumerate(toks[: self.prefix(n)]):
+            room = n - at
             for other, m, bt in self.postings.get(tok, ()):
                 if other not in met:
+                    met.add(other)
                     # The first common token: at most min(n - at, m - bt) can be common.
-                    met[other] = n * t <= m and m * t <= n and min(n - at, m - bt) >= share * (n + m) - 1e-9
-        mine, found = set(toks), {}
-        for other, possible in met.items():
-            if possible:
-                theirs = self.sets[other]
-                shared = len(mine & theirs)
-                j = shared / (n + len(theirs) - shared)
-                if j >= t:
-                    found[other] = j
+                    if n * t <= m and m * t <= n and room >= (need := share * (n + m) - 1e-9) and m - bt >= need:
+                        possible.append(other)
+        mine, found = self.as_bits(toks), {}
+        for number in possible:
+            other, theirs, m = self.sets[number]
+            shared = (mine & theirs).bit_count()
+            j = shared / (n + m - shared)
+            if j >= t:
+                found[other] = j
         return found
 
     def best(self, genus: str | None, epithet: str, key: str) -> tuple[int, float, int] | None:
         """(name_id, jaccard, distance) of the entry meant, or None."""
+        # The same key without a slip can't be outdone: the least distance and the highest similarity.
+        same = [i for rg, re_, i in self.entries.get(key, ()) if _name_slips(genus, epithet, rg, re_) == (0, 0)]
+        if same and is_slip(genus, epithet, 0, 0):
+            return min(same), 1.0, 0
         top = None
         for other, j in self.candidates(key).items():
             for rg, re_, name_id in self.entries[other]:
@@ -302,10 +325,23 @@ def _rough() -> dict[str, Column]:
     }
 
 
-def slips(a: str, b: str) -> int:
-    """Edits between two words: insertions, deletions, changes and swaps of neighbours."""
+def slips(a: str, b: str, most: int | None = None) -> int:
+    """Edits between two words: insertions, deletions, changes and swaps of neighbours.
+    Beyond ``most`` it may stop at any number above it."""
     if a == b:
         return 0
+    if most is not None and abs(len(a) - len(b)) > most:
+        return most + 1
+    # What both begin and end with takes no edits.
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    end = 0
+    while end < min(len(a), len(b)) and a[-1 - end] == b[-1 - end]:
+        end += 1
+    if end:
+        a, b = a[:-end], b[:-end]
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -314,12 +350,24 @@ def slips(a: str, b: str) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, two[j - 2] + 1)
             row.append(best)
+        # Two rows above the bound: no later one comes back below it.
+        if most is not None and i > 1 and min(row) > most and min(one) > most:
+            return most + 1
         two, one = one, row
     return one[-1]
 
 
+@functools.lru_cache(maxsize=200_000)
+def _folded_word(text: str) -> str:
+    return fold_glyphs(text)
+
+
 def _least_slips(a: str, b: str) -> int:
-    return 0 if a == b else min(slips(a, b), slips(fold_glyphs(a), fold_glyphs(b)))
+    """The slips between two words or between what scanners can't tell from them; above ``_MOST`` just any such number."""
+    if a == b:
+        return 0
+    plain = slips(a, b, _MOST)
+    return plain and min(plain, slips(_folded_word(a), _folded_word(b), _MOST))
 
 
 def _name_slips(genus: str | None, epithet: str, r_genus: str, r_epithet: str) -> tuple[int, int]:
