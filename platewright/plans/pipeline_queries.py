@@ -212,13 +212,15 @@ def evaluation_labels(s, d):
     return r.select(F.round("match_accuracy", 9).alias("match_accuracy"), F.round("answer_confidence_mean", 9).alias("answer_confidence_mean"), "n_samples")
 
 
-@query()
+@query(f"""SELECT precision AS figure_precision, recall AS figure_recall, f1 AS figure_f1, precision AS panel_precision, recall AS panel_recall, f1 AS panel_f1, mean_iou, l.* FROM ({Q._GREEDY}) e,
+ (WITH {Q.PAN} SELECT round(avg(CASE WHEN panel_id IS NOT DISTINCT FROM label_text THEN 1.0 ELSE 0.0 END), 9) AS match_accuracy, round(avg(score), 9) AS answer_confidence_mean, count(*) AS n_samples FROM pan) l""")
 def evaluation_summary(s, d):
     """All measures of an evaluation: boxes and labels against shifted gold boxes."""
     p = Q._panels(s, d)
     pred = p.select(*FIG, F.col("match_id").alias("id"), "match_id", "panel_id", "x", "y", "w", "h", "score")
     gold = Q._gold(s, d).join(p.select("match_id", F.col("label_text").alias("panel_id")), F.col("id") == F.col("match_id"))
-    return V.evaluation(pred, gold, FIG, "match_id", F.col("score"))
+    r = V.evaluation(pred, gold, FIG, "match_id", F.col("score"))
+    return r.select(*[c if c == "n_samples" else F.round(c, 9).alias(c) for c in r.columns])
 
 
 @query("SELECT match_id, panel_path IS NOT NULL AND panel_path NOT LIKE '/%' AND panel_path NOT LIKE '%..%' AS allowed FROM match_results WHERE panel_path IS NULL OR (panel_path NOT LIKE '%..%' AND panel_path NOT LIKE '/%')")

@@ -351,7 +351,11 @@ def dedup_boxes_grid(s, d):
     return B.dedup_on_grid(t, FIG, ["pos", "token_id"], 40).select("token_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAN}, o AS (SELECT match_id, paper_id, figure_id, x + w * 0.5 AS x, y + h * 0.5 AS y, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY match_id) AS rn FROM pan),
+ r AS (SELECT paper_id, figure_id, rn, [struct_pack(match_id := match_id, x := x, y := y)] AS k FROM o WHERE rn = 1
+  UNION ALL SELECT o.paper_id, o.figure_id, o.rn, CASE WHEN len(list_filter(r.k, lambda q: (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) <= 3600)) > 0 THEN r.k ELSE list_append(r.k, struct_pack(match_id := o.match_id, x := o.x, y := o.y)) END
+  FROM r JOIN o ON o.paper_id = r.paper_id AND o.figure_id = r.figure_id AND o.rn = r.rn + 1)
+ SELECT unnest(k).match_id AS match_id FROM (SELECT k FROM r QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY rn DESC) = 1)""")
 def dedup_points(s, d):
     """Centres of boxes thinned to a distance of more than 60 pixels."""
     t = _panels(s, d).select(*FIG, "match_id", (F.col("x") + F.col("w") * 0.5).alias("x"), (F.col("y") + F.col("h") * 0.5).alias("y"))
@@ -462,7 +466,12 @@ def assignment_optimal(s, d):
     return _assignment(s, d, True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAN}, {TOK}, it AS (SELECT paper_id, figure_id, count(*) AS n FROM {_TOKEN_LABELS} GROUP BY ALL),
+ r AS (SELECT paper_id, figure_id, CAST(-1 AS BIGINT) AS panel_index, range(n) AS free, CAST(NULL AS BIGINT) AS item FROM it
+  UNION ALL SELECT paper_id, figure_id, panel_index + 1, list_filter(free, lambda i: i IS DISTINCT FROM best), best FROM (
+   SELECT r.paper_id, r.figure_id, r.panel_index, free, -(list_sort(list_transform(free, lambda i: struct_pack(w := 1.0 / (1.0 + abs(pan.panel_index - i) + pan.x / 10000.0), k := -i)), 'DESC')[1]).k AS best
+   FROM r JOIN pan ON r.paper_id = pan.paper_id AND r.figure_id = pan.figure_id AND pan.panel_index = r.panel_index + 1))
+ SELECT paper_id, figure_id, CAST(panel_index AS INTEGER) AS panel_index, CAST(item AS INTEGER) AS item FROM r WHERE panel_index >= 0""")
 def assignment_greedy(s, d):
     """Panels to label tokens, greedily."""
     return _assignment(s, d, False)
@@ -526,11 +535,24 @@ def _gold(s, d):
     return _panels(s, d).select(*FIG, F.col("match_id").alias("id"), (F.col("x") + F.col("match_id") % 40).alias("x"), (F.col("y") + F.col("match_id") % 25).alias("y"), "w", "h")
 
 
-@query()
+_SHARED = "(greatest(0, least(c.x + c.w, g.x + g.w) - greatest(c.x, g.x)) * greatest(0, least(c.y + c.h, g.y + g.h) - greatest(c.y, g.y)))"
+_GREEDY = f"""WITH RECURSIVE {PAN}, p AS (SELECT paper_id, figure_id, list(struct_pack(id := match_id, x := x, y := y, w := w, h := h)) AS p, count(*) AS n_pred FROM pan GROUP BY ALL),
+ g AS (SELECT paper_id, figure_id, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY match_id) AS rn, x + match_id % 40 AS x, y + match_id % 25 AS y, w, h FROM pan),
+ r AS (SELECT paper_id, figure_id, CAST(0 AS BIGINT) AS rn, p, CAST([] AS BIGINT[]) AS used, CAST(0.0 AS DOUBLE) AS s FROM p
+  UNION ALL SELECT paper_id, figure_id, rn + 1, p, CASE WHEN b.v >= 0.5 THEN list_append(used, -b.k) ELSE used END, CASE WHEN b.v >= 0.5 THEN s + b.v ELSE s END FROM (
+   SELECT r.*, list_sort(list_transform(list_filter(r.p, lambda c: NOT list_contains(r.used, c.id)), lambda c: struct_pack(v := CAST({_SHARED} / greatest(1.0, c.w * c.h + g.w * g.h - {_SHARED}) AS DOUBLE), k := -c.id)), 'DESC')[1] AS b
+   FROM r JOIN g ON r.paper_id = g.paper_id AND r.figure_id = g.figure_id AND g.rn = r.rn + 1)),
+ e AS (SELECT len(used) AS n, s, len(p) AS m FROM r QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY rn DESC) = 1),
+ t AS (SELECT CAST(sum(n) AS BIGINT) AS tp, CAST(sum(m - n) AS BIGINT) AS fp, CAST(sum(m - n) AS BIGINT) AS fn, sum(s) AS s FROM e)
+ SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1, round(s / tp, 9) AS mean_iou FROM t"""
+
+
+@query(_GREEDY)
 def iou_eval_prf(s, d):
     """Precision, recall, F1 and mean IoU of boxes against shifted ones, matched greedily per figure."""
     pred = _panels(s, d).select(*FIG, F.col("match_id").alias("id"), "x", "y", "w", "h")
-    return V.summary(V.greedy_iou_match(pred, _gold(s, d), FIG))
+    r = V.summary(V.greedy_iou_match(pred, _gold(s, d), FIG))
+    return r.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
 
 
 @query("SELECT count(*) AS n, round(avg(CASE WHEN panel_id IS NOT DISTINCT FROM label_text THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM match_results")
