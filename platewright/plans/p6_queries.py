@@ -81,5 +81,5 @@ QUERIES = {
 }
 _ENTITY = "SELECT caption_id AS row_id, unnest(list_filter(entities, lambda e: e IS NOT NULL)) AS e, unnest(range(1, len(list_filter(entities, lambda e: e IS NOT NULL)) + 1)) AS k FROM captions"
 ORACLE: dict[str, str] = {
-    "p6_entities": f"SELECT row_id, CAST(k AS VARCHAR) AS dewey, CAST(NULL AS VARCHAR) AS parent, [k] AS ordinals, e.text, CAST(e.span_start AS VARCHAR) AS span_start, CAST(e.span_end AS VARCHAR) AS span_end, e.label, CAST(e.score AS VARCHAR) AS score FROM ({_ENTITY})",
+    "p6_entities": f"SELECT row_id, CAST(k AS VARCHAR) AS dewey, CAST(NULL AS VARCHAR) AS parent, [CAST(k AS INTEGER)] AS ordinals, e.text, CAST(e.span_start AS VARCHAR) AS span_start, CAST(e.span_end AS VARCHAR) AS span_end, e.label, CAST(e.score AS VARCHAR) AS score FROM ({_ENTITY})",
 }
