@@ -24,10 +24,10 @@ TYPES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.78, 0.85, 0.9, 0.94, 0.97, 0.99)
 #: Pseudo-counts of a type's accuracy per class, drawn to its accuracy overall; of that, drawn to ``TYPES``; of each wrong class of
 #: a row. Many, lest an annotator's own votes decide a cell and hold them in the type that they started in.
 CLASS_PRIOR, TYPE_PRIOR, WRONG_PRIOR = 400.0, 50.0, 50.0
-#: A field of more distinct answers than this is open: its matrix has two columns, right and wrong, since between so many
-#: classes there are more cells than votes.
+#: Classes of a field whose expectations are worked out at a time, however many it has.
 CLASSES = 1_000
-#: Votes that one row holds at most, items with more are dealt into several rows; pairs of answers that are judged at a time.
+#: Votes that one row holds at most, items with more are dealt into several rows; pairs of answers that are judged, and cells
+#: that are sent, at a time.
 VOTES_A_ROW, PAIRS_A_BLOCK = 1_000, 200_000
 
 
@@ -57,7 +57,8 @@ def consensus(votes: DataFrame, rounds: int = 12, tolerance: float = 1e-3, votes
     several, whose sums are combined per answer. A round is one map over these rows
     and one shuffle of its sums: a row per annotator and one per cell of the matrices
     that occurs. Types and matrices are shared with the tasks: ``len(TYPES)`` numbers
-    an annotator and at most ``CLASSES`` squared cells a field.
+    an annotator, twice as many an answer of a field and as many a cell that occurs, that
+    is, a pair of answers that one item was given. Every field has its whole matrix.
     """
     votes = votes.select("field", "item", "annotator", "answer").where("field is not null and item is not null and annotator is not null and answer is not null")
     votes = votes.groupBy("field", "item", "annotator").agg(F.min("answer").alias("answer"))
@@ -93,12 +94,10 @@ class _Field:
     """The posterior of one field: per type the accuracy of every class (Beta) and, of
     what is said instead of it, each class (Dirichlet over an item's other answers)."""
 
-    def __init__(self, classes: list[str] | None, offered: float):
-        self.number = None if classes is None else {c: i for i, c in enumerate(classes)}
+    def __init__(self, classes: list[str], offered: float):
+        self.number = {c: i for i, c in enumerate(classes)}
         self.offered = offered
-        #: Answers that a cell's code counts by; an open field has right (0) and wrong (1).
-        self.size = 2 if classes is None else len(classes)
-        k, m = (1 if classes is None else len(classes)), len(TYPES)
+        k, m = len(classes), len(TYPES)
         self.overall = np.array(TYPES)
         self.right, self.wrong = np.zeros((k, m)), np.zeros((k, m))
         #: Cells that occur, by class * classes + answer, and the votes of each type in them.
@@ -107,27 +106,32 @@ class _Field:
 
     def derive(self) -> None:
         """Expectations of logarithms under the posteriors."""
-        a, b = self.right + CLASS_PRIOR * self.overall, self.wrong + CLASS_PRIOR * (1 - self.overall)
-        both = digamma(a + b)
-        self.log_right, self.log_wrong = digamma(a) - both, digamma(b) - both
+        self.log_right, self.log_wrong = np.empty_like(self.right), np.empty_like(self.wrong)
+        for i in range(0, len(self.right), CLASSES):
+            a, b = self.right[i : i + CLASSES] + CLASS_PRIOR * self.overall, self.wrong[i : i + CLASSES] + CLASS_PRIOR * (1 - self.overall)
+            both = digamma(a + b)
+            self.log_right[i : i + CLASSES], self.log_wrong[i : i + CLASSES] = digamma(a) - both, digamma(b) - both
         # Of cells that nothing is known of, and of those that occurred; an item's answers share by their ratios.
         self.known = np.exp(digamma(self.cells + WRONG_PRIOR))
         self.unknown = float(np.exp(digamma(np.array(WRONG_PRIOR))))
 
     def learn(self, codes: np.ndarray, sums: np.ndarray, first: bool) -> None:
         """Take the votes ``sums`` of the cells ``codes``, each of which is there once, in order."""
-        size = self.size
+        size = len(self.number)
         self.right, self.wrong = np.zeros_like(self.right), np.zeros_like(self.wrong)
         same = codes // size == codes % size
         np.add.at(self.right, codes[same] // size, sums[same])
         np.add.at(self.wrong, codes[~same] // size, sums[~same])
-        if self.number is not None:
-            self.codes, self.cells = codes[~same], sums[~same]
+        self.codes, self.cells = codes[~same], sums[~same]
         if not first:
             r, w = self.right.sum(0), self.wrong.sum(0)
             self.overall = (r + TYPE_PRIOR * np.array(TYPES)) / (r + w + TYPE_PRIOR)
         self.derive()
 
+    def __getstate__(self) -> dict:
+        """What tasks need: no votes, which the driver alone learns from."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("right", "wrong", "cells")}
+
 
 class _Model:
     """The state of the rounds: what is known of fields, types and annotators."""
@@ -144,11 +148,10 @@ class _Model:
         self.large = not rows.where("parts > 1").isEmpty()
         classes: dict[str, list[str]] = {}
         said = rows.select("field", F.explode(F.array_distinct("said")).alias("answer")).distinct()
-        counted = {r["field"]: r["n"] for r in said.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per field
-        closed = [f for f, n in counted.items() if n <= CLASSES]
-        for r in said.where(F.col("field").isin(closed)).toLocalIterator() if closed else ():  # at most CLASSES of each
-            classes.setdefault(r["field"], []).append(r["answer"])
-        self.fields = {f: _Field(sorted(classes[f]) if f in closed else None, 1.0) for f in counted}
+        given = said.toArrow()  # a row per class of each field
+        for f, a in zip(given["field"].to_pylist(), given["answer"].to_pylist()):
+            classes.setdefault(f, []).append(a)
+        self.fields = {f: _Field(sorted(found), 1.0) for f, found in classes.items()}
         self.blocks = cut(self._encoded())
         self._count_alternatives()
 
@@ -156,7 +159,7 @@ class _Model:
         return self.spark.sparkContext.broadcast((self.fields, self.number, self.types.astype(np.float32)))
 
     def _of_large(self, shared, first: bool) -> DataFrame | None:
-        """(field, item, answers, n, q, told) of the items that lie in several rows, and the sums of their cells."""
+        """(field, item, answers, n, q, told) of the items that lie in several rows, and rows without item: sums of cells."""
         if not self.large:
             return None
         m = len(TYPES)
@@ -186,14 +189,13 @@ class _Model:
                 q, told, cells = _judge(fields, list(batch["field"]), answers, n, weights, first)
                 ends = np.cumsum([len(a) for a in answers])[:-1]
                 split = lambda x: [y.tolist() for y in np.split(x, ends)]
-                keys = [f"{f}\t{c}" for f, (codes, _) in cells.items() for c in codes.tolist()]
-                values = [v for _, votes in cells.values() for v in votes.tolist()]
-                yield pd.DataFrame({
-                    "field": batch["field"], "item": batch["item"], "answers": answers, "n": split(n.astype(np.int64)), "q": split(q), "told": split(told),
-                    "cells": [keys] + [[]] * (len(batch) - 1), "sums": [values] + [[]] * (len(batch) - 1),
-                })
-
-        schema = "field string, item string, answers array<string>, n array<bigint>, q array<double>, told array<array<double>>, cells array<string>, sums array<array<double>>"
+                yield pd.DataFrame({"field": batch["field"], "item": batch["item"], "answers": answers, "n": split(n.astype(np.int64)), "q": split(q), "told": split(told), "codes": None, "sums": None})
+                for f, (codes, votes) in cells.items():
+                    for i in range(0, len(codes), PAIRS_A_BLOCK):
+                        part = codes[i : i + PAIRS_A_BLOCK].astype(np.int64).tobytes(), votes[i : i + PAIRS_A_BLOCK].astype(float).tobytes()
+                        yield pd.DataFrame([(f, None, None, None, None, None, *part)], columns=["field", "item", "answers", "n", "q", "told", "codes", "sums"])
+
+        schema = "field string, item string, answers array<string>, n array<bigint>, q array<double>, told array<array<double>>, codes binary, sums binary"
         return cut(whole.mapInPandas(judge, schema))
 
     def _encoded(self) -> DataFrame:
@@ -208,8 +210,8 @@ class _Model:
                 out = []
                 for name, part in batch.groupby("field", sort=False):
                     classes = fields[name].number
-                    answers, at, n = _numbered(part["said"])
-                    code = np.zeros(len(n)) if classes is None else np.array([classes[a] for given in answers for a in given])
+                    answers, at, _ = _numbered(part["said"])
+                    code = np.array([classes[a] for given in answers for a in given])
                     who = np.array([number[x] for row in part["who"] for x in row])
                     numbers = (np.array([len(a) for a in answers]), code, who, at)
                     out.append((name, *[x.astype(np.int32).tobytes() for x in numbers]))
@@ -282,16 +284,18 @@ class _Model:
                     np.add.at(people, who, logs[[place[x] for x in said]])
             yield from packed(people, met, {})
 
+        def of_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for name, codes, sums in batch.itertuples(index=False, name=None):
+                    yield from packed(np.zeros((0, m)), np.zeros(0, dtype=bool), {name: [(np.frombuffer(codes, np.int64), np.frombuffer(sums, float).reshape(-1, m))]})
+
         columns = [f"v{t}" for t in range(m)]
         schema = "kind string, code bigint, " + ", ".join(f"{c} double" for c in columns)
         told = self.blocks.mapInPandas(of_blocks, schema)
         if large is not None:
             rows = self.rows.where("parts > 1").join(large.select("field", "item", "answers", "told"), ["field", "item"])
             told = told.unionByName(rows.select("who", "said", "answers", "told").mapInPandas(of_large, schema))
-        if large is not None:
-            cells = large.select(F.explode(F.arrays_zip("cells", "sums")).alias("c"))
-            cut_at = F.split("c.cells", "\t")
-            told = told.unionByName(cells.select(F.concat(F.lit("f"), F.array_join(F.slice(cut_at, F.lit(1), F.size(cut_at) - 1), "\t")).alias("kind"), F.element_at(cut_at, -1).cast("bigint").alias("code"), *[F.col("c.sums")[t].alias(c) for t, c in enumerate(columns)]))
+            told = told.unionByName(large.where("item is null").select("field", "codes", "sums").mapInPandas(of_cells, schema))
         found = told.groupBy("kind", "code").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()  # a row per annotator and per cell that occurs
         kinds, codes = np.array(found["kind"].to_pylist(), dtype=object), found["code"].to_numpy()
         values = np.stack([found[c].to_numpy() for c in columns], axis=1)
@@ -349,7 +353,7 @@ class _Model:
                     n, q = (np.array([x for row in batch[c] for x in row], dtype=float) for c in ("n", "q"))
                     yield chosen(batch["field"], batch["item"], [list(a) for a in batch["answers"]], n, q)
 
-            result = result.unionByName(large.select("field", "item", "answers", "n", "q").mapInPandas(of_large, schema))
+            result = result.unionByName(large.where("item is not null").select("field", "item", "answers", "n", "q").mapInPandas(of_large, schema))
         return result
 
 
@@ -391,14 +395,14 @@ def _judge(fields: dict[str, _Field], names: list[str], answers: list[list[str]]
         field, mine = fields[name], np.array(items, dtype=np.int64)
         k = sizes[mine]
         place = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        code = np.zeros(len(place), dtype=np.int64) if field.number is None else np.array([field.number[a] for i in items for a in answers[i]], dtype=np.int64)
+        code = np.array([field.number[a] for i in items for a in answers[i]], dtype=np.int64)
         q[place], told[place], *cells[name] = _judge_items(field, k, code, n[place], weights[place], first)
     return q, told, cells
 
 
 def _judge_items(field: _Field, k: np.ndarray, code: np.ndarray, n: np.ndarray, w: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """:func:`_judge_block` of items one after the other, so many at a time that their pairs of answers stay few."""
-    block = np.cumsum(k**2 if field.number is not None else k) // PAIRS_A_BLOCK
+    block = np.cumsum(k**2) // PAIRS_A_BLOCK
     ends = np.cumsum(k)
     cuts = np.flatnonzero(np.diff(block)) + 1
     q, told, cells = np.zeros(len(n)), np.zeros((len(n), len(TYPES))), []
@@ -414,7 +418,8 @@ def _judge_block(field: _Field, k: np.ndarray, code: np.ndarray, n: np.ndarray,
 
     An item offers as many wrong answers as the field does on average; of these the
     ones that it was given share by the types' matrices, so that a row of a matrix
-    sums to 1 over what an item offers.
+    sums to 1 over what an item offers. Of an item of very many answers some are taken
+    for the true one at a time.
     """
     first_of = np.concatenate([[0], np.cumsum(k)[:-1]]).astype(np.int64)
     item = np.repeat(np.arange(len(k)), k)
@@ -430,34 +435,39 @@ def _judge_block(field: _Field, k: np.ndarray, code: np.ndarray, n: np.ndarray,
         e = np.exp(score - np.maximum.reduceat(score, first_of)[item])
         return e / of_item(e)
 
-    if field.number is None:
-        # All that isn't right is alike: sums instead of pairs, however many answers there are.
-        even = np.log(np.maximum(share, 1e-300) / np.maximum(k - 1, 1))[item][:, None]
-        other = wrong + even
-        score = (w * right).sum(1) + ((of_item(w) - w) * other * (k > 1)[item][:, None]).sum(1)
-        p = posterior(score)[:, None]
-        lone = (k > 1)[item][:, None]
-        told = p * right + (of_item(p * other) - p * other) * lone
-        diagonal, total = (p * w).sum(0), w.sum(0)
-        return p[:, 0], told, np.array([0, 1]), np.stack([diagonal, total - diagonal])
     reach = k[item]
-    x = np.repeat(np.arange(len(code)), reach)
-    begins = np.concatenate([[0], np.cumsum(reach)[:-1]]).astype(np.int64)
-    y = np.arange(len(x)) - np.repeat(begins - first_of[item], reach)
-    cell = code[x] * len(field.number) + code[y]
-    same = x == y
-    at = np.minimum(np.searchsorted(field.codes, cell), max(len(field.codes) - 1, 0))
-    odds = np.full((len(x), len(TYPES)), field.unknown)
-    if len(field.codes):
-        hit = field.codes[at] == cell
-        odds[hit] = field.known[at[hit]]
-    odds[same] = 0.0
-    total = np.add.reduceat(odds, begins)[x]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logp = wrong[x] + np.log(odds / total * share[item[x]][:, None])
-    logp[same] = right[x[same]]
-    p = posterior(np.add.reduceat((w[y] * logp).sum(1), begins))
-    weighed = p[x][:, None] * logp
-    told = np.stack([np.bincount(y, weights=weighed[:, t], minlength=len(code)) for t in range(len(TYPES))], axis=1)
-    kept = p[x] > 1e-9
-    return p, told, *_added([(cell[kept], p[x[kept]][:, None] * w[y[kept]])])
+
+    def pairs(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, cell, logp, begins) of the answers from ``i`` to ``j`` as true (x) and all that their items were given (y)."""
+        x = np.repeat(np.arange(i, j), reach[i:j])
+        begins = np.concatenate([[0], np.cumsum(reach[i:j])[:-1]]).astype(np.int64)
+        y = np.arange(len(x)) - np.repeat(begins - first_of[item[i:j]], reach[i:j])
+        cell = code[x] * len(field.number) + code[y]
+        same = x == y
+        at = np.minimum(np.searchsorted(field.codes, cell), max(len(field.codes) - 1, 0))
+        odds = np.full((len(x), len(TYPES)), field.unknown)
+        if len(field.codes):
+            hit = field.codes[at] == cell
+            odds[hit] = field.known[at[hit]]
+        odds[same] = 0.0
+        total = np.add.reduceat(odds, begins)[x - i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logp = wrong[x] + np.log(odds / total * share[item[x]][:, None])
+        logp[same] = right[x[same]]
+        return x, y, cell, logp, begins
+
+    cuts = np.flatnonzero(np.diff(np.cumsum(reach) // (2 * PAIRS_A_BLOCK))) + 1
+    spans = list(zip([0, *cuts], [*cuts, len(code)]))
+    held = [pairs(*spans[0])] if len(spans) == 1 else None
+
+    def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        yield from held or (pairs(int(i), int(j)) for i, j in spans)
+
+    p = posterior(n if first else np.concatenate([np.add.reduceat((w[y] * logp).sum(1), begins) for _, y, _, logp, begins in each()]))
+    told, cells = np.zeros((len(code), len(TYPES))), []
+    for x, y, cell, logp, _ in each():
+        weighed = p[x][:, None] * logp
+        told += np.stack([np.bincount(y, weights=weighed[:, t], minlength=len(code)) for t in range(len(TYPES))], axis=1)
+        kept = p[x] > 1e-9
+        cells.append((cell[kept], p[x[kept]][:, None] * w[y[kept]]))
+    return p, told, *_added(cells)
